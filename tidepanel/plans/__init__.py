@@ -1,0 +1,6 @@
+"""Registered queries over the star tables."""
+
+
+def load_all() -> None:
+    """Import every query module, which fills the registry."""
+    from tidepanel.plans import panel_queries  # noqa: F401
