@@ -209,3 +209,9 @@ def diversification_ratio(weights: DataFrame, cov: DataFrame, roster: Roster, re
                        lambda acc, k: acc + F.get("_b", F.floor(k / n).cast("int")) * F.get("_b", (k % n).cast("int"))
                        * F.get("cov", k))
     return df.withColumn("div_ratio", spread / F.sqrt(F.greatest(quad, F.lit(1e-30)))).drop("_b", "cov", "vol")
+
+
+def both_down_drawdown(series: DataFrame, keys: Sequence[str], net: str = "net") -> DataFrame:
+    """Drawdown of the curve made of the both-down months only."""
+    only = sg.drawdown(series.where(F.coalesce("both_down", F.lit(False))), list(keys), net)
+    return only.groupBy(*keys).agg(F.min("dd").alias("both_down_maxdd"))

@@ -72,3 +72,10 @@ def deflate(nominal: DataFrame, deflator: DataFrame) -> DataFrame:
     d = deflator.select("period", F.col("ret").alias("d"))
     return (nominal.join(F.broadcast(d), "period", "left")
             .withColumn("real_ret", (1 + F.col("ret")) / (1 + F.coalesce("d", F.lit(0.0))) - 1).drop("d"))
+
+
+def choose_deflator(candidates: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Per period, the return of the first listed series that has one."""
+    picks = [F.max(F.when(F.col("entity") == name, F.col("ret"))) for name in order]
+    return (candidates.where(F.col("entity").isin(list(order))).groupBy("period")
+            .agg(F.coalesce(*picks).alias("ret")))

@@ -7,10 +7,9 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidepanel.operators import returns as rt
-from tidepanel.operators import regimes
 from tidepanel.operators.universe_tables import flatten_members, merge_universe
 from tidepanel.plans import fixtures as fx
-from tidepanel.plans.oracle import NATION_DIM, PANELS, calendar, levels, names, q, returns, returns_of, with_
+from tidepanel.plans.oracle import NATION_DIM, levels, names, q, returns, with_
 from tidepanel.plans.registry import query
 from tidepanel.session import ensure_checkpoint_dir
 from tidepanel.sources import files, panels
@@ -19,7 +18,6 @@ from tidepanel.sources.panels import table
 NATIONS = [f"NATION_{i}" for i in range(25)]
 # The order priorities, columns of the pivoted matrix.
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
-TIMES_100 = "* 12 * 100"
 
 
 def nation_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,12 +52,12 @@ def src_long_select(spark, sf_dir):
 
 
 @query("src_pivot", with_(
-    [*levels("priority_day")],
+    returns("priority_day"),
     "SELECT last_day(period) AS period, " + ", ".join(
-        q(f"avg(level) FILTER (entity = '{p}')", 6) + f' AS "{p}"' for p in PRIORITIES) + " FROM lv GROUP BY 1"), digits=6)
+        q(f"avg(ret) FILTER (entity = '{p}')") + f' AS "{p}"' for p in PRIORITIES) + " FROM ret GROUP BY 1"))
 def src_pivot(spark, sf_dir):
-    monthly = panels.priority_day(spark, sf_dir).withColumn("period", F.last_day("period"))
-    return files.long_to_wide(monthly, PRIORITIES)
+    daily = rt.non_null(rt.simple_returns(panels.priority_day(spark, sf_dir)))
+    return files.long_to_wide(daily.withColumn("period", F.last_day("period")), PRIORITIES, "ret")
 
 
 @query("src_snapshot", with_(levels("type"), f"SELECT period, entity, {q('level')} AS level FROM lv"))
