@@ -22,13 +22,19 @@ def wide_returns(returns: DataFrame, roster: Roster) -> DataFrame:
     return returns.groupBy("period").agg(*cells)
 
 
-def refit_rows(returns: DataFrame, months: DataFrame, roster: Roster, trailing: int) -> DataFrame:
-    """The ``trailing`` calendar rows strictly before each refit, wide, where every series is complete."""
+def refit_rows(returns: DataFrame, months: DataFrame, roster: Roster, trailing: int,
+               inside_window: bool = False) -> DataFrame:
+    """The ``trailing`` calendar rows strictly before each refit, wide, where every series is complete.
+
+    ``inside_window`` forbids history from before the window (the first refits then have none).
+    """
     wide = wide_returns(returns, roster).join(F.broadcast(calendar(returns).select("period", "cal_idx")), "period")
-    refits = months.where("is_refit").select("window_id", "refit_no", F.col("cal_idx").alias("refit_idx"))
-    rows = (refits.where(F.col("refit_idx") > 1)
+    first = F.min("cal_idx").over(Window.partitionBy("window_id")) if inside_window else F.lit(1)
+    refits = months.withColumn("earliest", first).where("is_refit").select(
+        "window_id", "refit_no", "earliest", F.col("cal_idx").alias("refit_idx"))
+    rows = (refits.where(F.col("refit_idx") > F.col("earliest"))
             .withColumn("cal_idx", F.explode(F.sequence(
-                F.greatest(F.col("refit_idx") - trailing, F.lit(1)), F.col("refit_idx") - 1)))
+                F.greatest(F.col("refit_idx") - trailing, F.col("earliest")), F.col("refit_idx") - 1)))
             .join(F.broadcast(wide), "cal_idx"))
     whole = Window.partitionBy("window_id", "refit_no")
     complete = F.lit(True)
@@ -95,8 +101,8 @@ def shrink(moments: DataFrame, roster: Roster, mode: str = "lw") -> DataFrame:
 
 
 def refit_covariance(returns: DataFrame, months: DataFrame, roster: Roster,
-                     trailing: int = 36, mode: str = "lw") -> DataFrame:
-    return shrink(refit_moments(refit_rows(returns, months, roster, trailing), roster), roster, mode)
+                     trailing: int = 36, mode: str = "lw", inside_window: bool = False) -> DataFrame:
+    return shrink(refit_moments(refit_rows(returns, months, roster, trailing, inside_window), roster), roster, mode)
 
 
 def long_entries(cov: DataFrame, roster: Roster) -> DataFrame:

@@ -43,6 +43,8 @@ class TrialSettings:
     erc_cap_mode: str = "capped"
     min_sleeves: int = 5
     max_sleeves: int = 8
+    # True: covariances see no history from before the window.
+    history_inside_window: bool = False
     # True: overlay schemes earn nothing until a refit has a covariance; False: they start equal-weighted.
     overlays_wait_for_covariance: bool = False
 
@@ -306,7 +308,8 @@ def plan_trials(returns: DataFrame, windows: DataFrame, roster: Roster, schemes:
                 shared &= mask
             available = {w: shared for w in found}
     needs_cov = any(s.base != "ew" for s in schemes) or settings.overlays_wait_for_covariance
-    cov = materialize(refit_covariance(returns, months, roster, settings.trailing, settings.shrink)) if needs_cov else None
+    cov = materialize(refit_covariance(
+        returns, months, roster, settings.trailing, settings.shrink, settings.history_inside_window)) if needs_cov else None
 
     counts = {w: combination_count(roster, settings.min_sleeves, settings.max_sleeves, a) for w, a in available.items()}
     n_months = months.count() / max(len(available), 1)

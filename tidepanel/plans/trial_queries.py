@@ -36,22 +36,21 @@ COMBOS = [ts.roster_cte(R), ("ok", "SELECT 0 AS window_id, entity FROM ros"), *t
 
 
 def _ordered_names() -> str:
-    return "list_filter([" + ", ".join(f"CASE WHEN (mask >> {i}) & 1 = 1 THEN '{x}' END" for i, x in enumerate(R.names)) + "], x -> x IS NOT NULL)"
+    return ", ".join(f"CASE WHEN (mask >> {i}) & 1 = 1 THEN '{x}' END" for i, x in enumerate(R.names))
 
 
-@query("combos", with_(COMBOS, "SELECT mask, n_sleeves::INTEGER AS n_sleeves FROM combos"))
-def combos(spark, sf_dir):
-    r = fx.brand_returns(spark, sf_dir)
-    return combinations(spark, R, 5, 8, _available(spark, r))
-
-
-def _available(spark, returns_: DataFrame) -> int:
+def _available(returns_: DataFrame) -> int:
     """Series of the roster that exist in the panel at all."""
     present = returns_.where(F.col("entity").isin(list(R.names))).select("entity").distinct().collect()
     return R.mask([x.entity for x in present])
 
 
-@query("combo_str", with_(COMBOS, f"SELECT mask, array_to_string({_ordered_names()}, ',') AS combo, n_sleeves::INTEGER AS n_parts FROM combos"))
+@query("combos", with_(COMBOS, "SELECT mask, n_sleeves::INTEGER AS n_sleeves FROM combos"))
+def combos(spark, sf_dir):
+    return combinations(spark, R, 5, 8, _available(fx.brand_returns(spark, sf_dir)))
+
+
+@query("combo_str", with_(COMBOS, f"SELECT mask, concat_ws(',', {_ordered_names()}) AS combo, n_sleeves::INTEGER AS n_parts FROM combos"))
 def combo_str(spark, sf_dir):
     df = combos(spark, sf_dir).select("mask", combo_text(R, F.col("mask")).alias("combo"))
     return df.withColumn("n_parts", F.size(F.split("combo", ",")))
@@ -124,9 +123,10 @@ def trial_combos(spark, returns_, months, partitions: int = 8) -> DataFrame:
 
 
 def long_weights(weights: DataFrame, keys: list[str]) -> DataFrame:
-    cells = F.array(*[F.struct(F.lit(x).alias("sleeve"), F.col(f"b_{i}").alias("w")) for i, x in enumerate(R.names)])
-    member = F.filter(cells, lambda c: F.col("mask").bitwiseAND(F.shiftleft(F.lit(1), 0)).isNotNull() & (c["w"] > 0))
-    return weights.select(*keys, F.explode(member).alias("e")).select(*keys, "e.*")
+    cells = F.array(*[F.struct(F.lit(x).alias("sleeve"), F.col(f"b_{i}").alias("w"), F.lit(1 << i).alias("bit"))
+                      for i, x in enumerate(R.names)])
+    member = F.filter(cells, lambda c: F.col("mask").bitwiseAND(c["bit"]) != 0)
+    return weights.select(*keys, F.explode(member).alias("e")).select(*keys, "e.sleeve", "e.w")
 
 
 WEIGHT_BASE = [*BRAND, ts.roster_cte(R), *ts.months_ctes(ts.windows_cte(SPANS)), *ts.availability_ctes(False),
