@@ -2,8 +2,8 @@
 
 The distinct values are counted first (map-side combine, so one value held by a third of
 the rows becomes one row), cut into balanced buckets, numbered inside the buckets and
-offset by the totals of the buckets below. Only the bucket totals meet in one task, and
-their number is fixed.
+offset by the totals of the buckets below. Only the bucket totals meet in one task: there are
+at most ``BUCKETS`` of them per group, which also bounds the broadcasts.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidepanel.functions.sizing import broadcast_if_small
 from tidepanel.session import materialize
 
 BUCKETS = 64
@@ -20,18 +19,20 @@ BUCKETS = 64
 
 def value_ranks(values: DataFrame, groups: Sequence[str], value: str, buckets: int = BUCKETS) -> DataFrame:
     """One row per (groups, value): ``n_equal``, ``n_below`` and ``n_total`` of its non-null peers."""
-    counts = (values.where(F.col(value).isNotNull())
-              .groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n_equal")))
-    counts = materialize(counts)
-    cuts = counts.groupBy(*groups).agg(
-        F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 1000).alias("cuts"))
-    # The sketch may differ between two runs, so its result is fixed before both uses.
-    cuts = materialize(cuts)
-    bucketed = (counts.join(broadcast_if_small(cuts), list(groups)) if groups
-                else counts.join(F.broadcast(cuts.limit(1).withColumn("one", F.lit(1))),
-                                 F.lit(1) == F.col("one")).drop("one"))
-    bucketed = bucketed.withColumn(
-        "bucket", F.size(F.filter("cuts", lambda c: c < F.col(value)))).drop("cuts")
+    spark, groups = values.sparkSession, list(groups)
+    counts = materialize(values.where(F.col(value).isNotNull())
+                         .groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n_equal")))
+    # One sketch row per group comes back: it may differ between two runs, so both uses share it.
+    sketch = counts.groupBy(*groups).agg(
+        F.percentile_approx(F.col(value).cast("double"), [i / buckets for i in range(1, buckets)], 1000).alias("cuts"))
+    bucket = F.size(F.filter("cuts", lambda c: c < F.col(value)))
+    if groups:
+        cuts = spark.createDataFrame(sketch.collect(), sketch.schema)
+        bucketed = counts.join(F.broadcast(cuts), groups).withColumn("bucket", bucket).drop("cuts")
+    else:
+        row = sketch.first()
+        cuts = F.array(*[F.lit(c) for c in (row.cuts or [])])
+        bucketed = counts.withColumn("cuts", cuts).withColumn("bucket", bucket).drop("cuts")
     totals = bucketed.groupBy(*groups, "bucket").agg(F.sum("n_equal").alias("in_bucket"))
     by_bucket = Window.partitionBy(*groups).orderBy("bucket")
     whole = Window.partitionBy(*groups)
@@ -42,7 +43,7 @@ def value_ranks(values: DataFrame, groups: Sequence[str], value: str, buckets: i
     inside = Window.partitionBy(*groups, "bucket").orderBy(value)
     return (bucketed
             .withColumn("n_below_inside", F.sum("n_equal").over(inside) - F.col("n_equal"))
-            .join(broadcast_if_small(totals), [*groups, "bucket"])
+            .join(F.broadcast(totals), [*groups, "bucket"])
             .select(*groups, value, "n_equal",
                     (F.col("offset") + F.col("n_below_inside")).alias("n_below"), "n_total"))
 

@@ -6,20 +6,18 @@ aggregate over those rows and no pair is ever emitted as a row or joined.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from tidepanel.functions.scalar import safe_div, zero_if_null
 from tidepanel.operators.returns import calendar
-from tidepanel.operators.universe import Roster
+from tidepanel.operators.universe import Roster, roster_position
 
 MIN_ROWS = 12
 
 
 def wide_returns(returns: DataFrame, roster: Roster) -> DataFrame:
     """``(period, r_0 .. r_{n-1})`` in roster order."""
-    cells = [F.max(F.when(F.col("entity") == name, F.col("ret"))).alias(f"r_{i}")
-             for i, name in enumerate(roster.names)]
-    return returns.groupBy("period").agg(*cells)
+    cells = [F.expr(f"max(ret) FILTER (WHERE i = {i})").alias(f"r_{i}") for i in range(roster.n)]
+    return returns.withColumn("i", roster_position(roster)).groupBy("period").agg(*cells)
 
 
 def refit_rows(returns: DataFrame, months: DataFrame, roster: Roster, trailing: int,
@@ -37,9 +35,7 @@ def refit_rows(returns: DataFrame, months: DataFrame, roster: Roster, trailing:
                 F.greatest(F.col("refit_idx") - trailing, F.col("earliest")), F.col("refit_idx") - 1)))
             .join(F.broadcast(wide), "cal_idx"))
     whole = Window.partitionBy("window_id", "refit_no")
-    complete = F.lit(True)
-    for i in range(roster.n):
-        complete = complete & F.col(f"r_{i}").isNotNull()
+    complete = F.expr(" AND ".join(f"r_{i} IS NOT NULL" for i in range(roster.n)))
     return (rows.withColumn("n_rows", F.count(F.lit(1)).over(whole))
             .withColumn("n_complete", F.count(F.when(complete, 1)).over(whole))
             .where((F.col("n_rows") >= MIN_ROWS) & (F.col("n_rows") == F.col("n_complete"))))
@@ -51,53 +47,39 @@ def pair(i: int, j: int) -> str:
 
 def refit_moments(rows: DataFrame, roster: Roster) -> DataFrame:
     """Population covariances and the fourth-moment sum ``q`` of the demeaned rows, per refit."""
-    n, whole = roster.n, Window.partitionBy("window_id", "refit_no")
-    demeaned = rows.select("window_id", "refit_no", *[
-        (F.col(f"r_{i}") - F.avg(f"r_{i}").over(whole)).alias(f"x_{i}") for i in range(n)])
-    norm = sum((F.col(f"x_{i}") * F.col(f"x_{i}") for i in range(1, n)), F.col("x_0") * F.col("x_0"))
+    n = roster.n
+    over = "OVER (PARTITION BY window_id, refit_no)"
+    demeaned = rows.selectExpr("window_id", "refit_no", *[f"r_{i} - avg(r_{i}) {over} AS x_{i}" for i in range(n)])
+    norm = " + ".join(f"x_{i} * x_{i}" for i in range(n))
     return demeaned.groupBy("window_id", "refit_no").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.sum(norm * norm).alias("q"),
-        *[F.avg(F.col(f"x_{i}") * F.col(f"x_{j}")).alias(pair(i, j)) for i in range(n) for j in range(i, n)])
-
-
-def _sum(terms: list[Column]) -> Column:
-    total = terms[0]
-    for term in terms[1:]:
-        total = total + term
-    return total
+        F.count(F.lit(1)).alias("n_rows"), F.expr(f"sum(({norm}) * ({norm}))").alias("q"),
+        *[F.expr(f"avg(x_{i} * x_{j})").alias(pair(i, j)) for i in range(n) for j in range(i, n)])
 
 
 def shrink(moments: DataFrame, roster: Roster, mode: str = "lw") -> DataFrame:
     """``(window_id, refit_no, n_rows, delta, cov ARRAY(n*n), vol ARRAY(n))``.
 
-    ``lw`` shrinks towards the scaled identity; ``none`` keeps the sample covariance.
+    ``lw`` shrinks towards the scaled identity; ``none`` keeps the sample covariance. The
+    distance to the target and the mean outer-product error need only ||S||^2, the trace and q.
     """
     n = roster.n
-    t = F.col("n_rows").cast("double")
-    trace = _sum([F.col(pair(i, i)) for i in range(n)])
-    frob = _sum([F.col(pair(i, j)) * F.col(pair(i, j)) * F.lit(1.0 if i == j else 2.0)
-                 for i in range(n) for j in range(i, n)])
-    df = moments.withColumn("mu", trace / n).withColumn("frob", frob)
-    # ||S - mu I||^2 = ||S||^2 - n mu^2, and the mean outer-product error needs q and ||S||^2 only.
-    d2 = (F.col("frob") - n * F.col("mu") * F.col("mu")) / n
-    b2 = F.least((F.col("q") - t * F.col("frob")) / (t * t * n), F.col("d2"))
-    df = df.withColumn("d2", d2).withColumn("b2", b2)
-    ratio = F.when(F.col("d2") > 0, safe_div(F.col("b2"), F.col("d2"))).otherwise(0.0)
-    df = df.withColumn("delta", F.greatest(F.least(zero_if_null(ratio), F.lit(1.0)), F.lit(0.0)))
-    if mode == "none":
-        df = df.withColumn("delta", F.lit(0.0))
-
-    def entry(i: int, j: int) -> Column:
-        s = F.col(pair(i, j))
+    trace = " + ".join(pair(i, i) for i in range(n))
+    frob = " + ".join(f"{1 if i == j else 2} * {pair(i, j)} * {pair(i, j)}" for i in range(n) for j in range(i, n))
+    df = moments.selectExpr("*", f"({trace}) / {n} AS mu", f"{frob} AS frob", "double(n_rows) AS t")
+    df = df.selectExpr("*", f"(frob - {n} * mu * mu) / {n} AS d2")
+    df = df.selectExpr("*", f"least((q - t * frob) / (t * t * {n}), d2) AS b2")
+    delta = "least(greatest(CASE WHEN d2 > 0 THEN b2 / d2 ELSE 0D END, 0D), 1D)" if mode == "lw" else "0D"
+    df = df.selectExpr("*", f"{delta} AS delta")
+
+    def entry(i: int, j: int) -> str:
         if mode == "none":
-            return s * t / (t - 1)
-        kept = (F.lit(1.0) - F.col("delta")) * s
-        return kept + F.col("delta") * F.col("mu") if i == j else kept
-
-    cov = F.array(*[entry(i, j) for i in range(n) for j in range(n)])
-    df = df.withColumn("cov", cov)
-    vol = F.array(*[F.sqrt(F.greatest(F.col("cov")[i * n + i], F.lit(1e-12))) for i in range(n)])
-    return df.select("window_id", "refit_no", "n_rows", "delta", "cov", vol.alias("vol"))
+            return f"{pair(i, j)} * t / (t - 1)"
+        return f"(1 - delta) * {pair(i, j)}" + (" + delta * mu" if i == j else "")
+
+    cov = ", ".join(entry(i, j) for i in range(n) for j in range(n))
+    df = df.selectExpr("window_id", "refit_no", "n_rows", "delta", f"array({cov}) AS cov")
+    vol = ", ".join(f"sqrt(greatest(cov[{i * n + i}], 1e-12D))" for i in range(n))
+    return df.selectExpr("*", f"array({vol}) AS vol")
 
 
 def refit_covariance(returns: DataFrame, months: DataFrame, roster: Roster,

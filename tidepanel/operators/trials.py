@@ -191,50 +191,40 @@ def market(returns: DataFrame, months: DataFrame, roster: Roster, schemes: Seque
     coef = (coef.withColumn("u1", lagged("u")).withColumn("s1", lagged("s")).withColumn("r1", lagged("r"))
             .withColumn("i", roster_position(roster)))
     columns = ["u", "s", "h", "r", "u1", "s1", "r1"]
-    cells = [zero_if_null(F.max(F.when(F.col("i") == i, F.col(c)))).alias(f"{c}_{i}")
+    cells = [F.expr(f"coalesce(max({c}) FILTER (WHERE i = {i}), 0D)").alias(f"{c}_{i}")
              for c in columns for i in range(roster.n)]
     return coef.groupBy("window_id", "scheme", "base", "period", "m_idx", "refit_no", "is_refit").agg(*cells)
 
 
-def trial_month_expressions(roster: Roster, settings: TrialSettings, fixed_legs: bool) -> dict[str, Column]:
-    """Gross return, turnover and notional of one trial-month from its market row.
+def trial_month_expressions(roster: Roster, fixed_legs: bool) -> dict[str, str]:
+    """Growth of the old book, gross return, turnover and notional of one trial-month, as SQL text.
 
-    ``b_i`` is this refit's weight, ``bp_i`` the one in force a month earlier.
+    ``b_i`` is this refit's weight, ``bp_i`` the one in force a month earlier; members are summed
+    term by term so that the whole row stays in generated code.
     """
-    n = roster.n
-    member = [F.shiftright(F.col("mask"), i).bitwiseAND(F.lit(1)).cast("double") for i in range(n)]
-
-    def leg(weight: str, u: str, s: str, i: int) -> Column:
-        leg_ = F.col(f"{weight}_{i}") * F.col(f"{u}_{i}")
-        return leg_ + member[i] * F.col(f"{s}_{i}") if fixed_legs else leg_
-
-    def total(terms: list[Column]) -> Column:
-        out = terms[0]
-        for term in terms[1:]:
-            out = out + term
-        return out
-
-    now = [leg("b", "u", "s", i) for i in range(n)]
-    then = [leg("bp", "u1", "s1", i) for i in range(n)]
-    growth = F.lit(1.0) + total([then[i] * F.col(f"r1_{i}") for i in range(n)])
-    moved = F.col("growth") > 1e-6
-    drifted = [then[i] * F.when(moved, (F.lit(1.0) + F.col(f"r1_{i}")) / F.col("growth")).otherwise(1.0)
-               for i in range(n)]
-    notional = total([F.abs(now[i]) if fixed_legs else F.col(f"b_{i}") * F.col(f"h_{i}") for i in range(n)])
+    n = range(roster.n)
+    member = "double(shiftright(mask, {i}) & 1)"
+
+    def leg(weight: str, u: str, s: str, i: int) -> str:
+        text = f"{weight}_{i} * {u}_{i}"
+        return f"({text} + {member.format(i=i)} * {s}_{i})" if fixed_legs else f"({text})"
+
+    now = [leg("b", "u", "s", i) for i in n]
+    then = [leg("bp", "u1", "s1", i) for i in n]
+    drift = "CASE WHEN growth > 1e-6D THEN (1D + r1_{i}) / growth ELSE 1D END"
     return {
-        "growth": growth,
-        "gross": total([now[i] * F.col(f"r_{i}") for i in range(n)]),
-        "turnover": total([F.abs(now[i] - drifted[i]) for i in range(n)]),
-        "notional": notional,
+        "growth": "1D + " + " + ".join(f"{then[i]} * r1_{i}" for i in n),
+        "gross": " + ".join(f"{now[i]} * r_{i}" for i in n),
+        "turnover": " + ".join(f"abs({now[i]} - {then[i]} * {drift.format(i=i)})" for i in n),
+        "notional": " + ".join(f"abs({now[i]})" if fixed_legs else f"b_{i} * h_{i}" for i in n),
     }
 
 
 def run_months(weighted: DataFrame, roster: Roster, settings: TrialSettings, fixed_legs: bool,
                keep: Sequence[str]) -> DataFrame:
-    e = trial_month_expressions(roster, settings, fixed_legs)
-    df = weighted.withColumn("growth", e["growth"])
-    df = df.select(*keep, e["gross"].alias("gross"), e["turnover"].alias("turnover"), e["notional"].alias("notional"),
-                   "flavor_funding")
+    e = trial_month_expressions(roster, fixed_legs)
+    df = weighted.withColumn("growth", F.expr(e["growth"]))
+    df = df.select(*keep, *[F.expr(e[c]).alias(c) for c in ("gross", "turnover", "notional")], "flavor_funding")
     funding = F.greatest(F.col("notional") - 1.0, F.lit(0.0)) * F.lit(settings.lev_rate / 12.0)
     net = F.col("gross") - F.col("turnover") * F.lit(settings.cost) - F.col("flavor_funding") * funding
     return df.select(*keep, "gross", net.alias("net"), "turnover", "notional")
@@ -242,8 +232,8 @@ def run_months(weighted: DataFrame, roster: Roster, settings: TrialSettings, fix
 
 def with_previous_weights(weights: DataFrame, roster: Roster) -> DataFrame:
     """Adds the weights of the refit before (``bp_i``, 0 at the first one)."""
-    order = Window.partitionBy("window_id", "mask", "base").orderBy("refit_no")
-    return weights.select("*", *[zero_if_null(F.lag(f"b_{i}").over(order)).alias(f"q_{i}") for i in range(roster.n)])
+    over = "OVER (PARTITION BY window_id, mask, base ORDER BY refit_no)"
+    return weights.selectExpr("*", *[f"coalesce(lag(b_{i}) {over}, 0D) AS q_{i}" for i in range(roster.n)])
 
 
 def refit_weights(combos: DataFrame, cov: DataFrame, months: DataFrame, roster: Roster,
@@ -355,12 +345,11 @@ def plan_trials(returns: DataFrame, windows: DataFrame, roster: Roster, schemes:
         drop = [] if legs else [f"{c}_{i}" for c in ("s", "s1") for i in range(roster.n)]
         part = broadcast_if_small(mk.where(F.col("scheme").isin(names)).drop(*drop))
         if kind == "ew":
-            weighted = equal_weight(combos, roster).select("*", *[F.col(f"b_{i}").alias(f"bp_{i}") for i in range(roster.n)]) \
-                .join(part, "window_id")
+            weighted = equal_weight(combos, roster).selectExpr("*", *[f"b_{i} AS bp_{i}" for i in range(roster.n)])
+            weighted = weighted.join(part, "window_id")
         else:
             weighted = solved.join(part, ["window_id", "base", "refit_no"])
-            weighted = weighted.select("*", *[F.when(F.col("is_refit"), F.col(f"q_{i}")).otherwise(F.col(f"b_{i}")).alias(f"bp_{i}")
-                                              for i in range(roster.n)])
+            weighted = weighted.selectExpr("*", *[f"CASE WHEN is_refit THEN q_{i} ELSE b_{i} END AS bp_{i}" for i in range(roster.n)])
         if only is not None:
             # The chosen trials are few; the small side keeps the layout of the big one.
             weighted = weighted.join(broadcast_if_small(only.select(*TRIAL_KEYS)), TRIAL_KEYS, "left_semi")

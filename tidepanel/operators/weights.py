@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tidepanel.functions.scalar import safe_div
 from tidepanel.operators.universe import Roster
@@ -18,13 +18,9 @@ def weight_columns(roster: Roster) -> list[str]:
     return [f"b_{i}" for i in range(roster.n)]
 
 
-def bit(roster: Roster, i: int, mask: str = "mask") -> Column:
-    return F.shiftright(F.col(mask), i).bitwiseAND(F.lit(1)).cast("double")
-
-
 def equal_weight(combos: DataFrame, roster: Roster) -> DataFrame:
     """1/n each. A feasible cap leaves it unchanged and an infeasible cap falls back to it."""
-    return combos.select("*", *[(bit(roster, i) / F.col("n_sleeves")).alias(f"b_{i}") for i in range(roster.n)])
+    return combos.selectExpr("*", *[f"double(shiftright(mask, {i}) & 1) / n_sleeves AS b_{i}" for i in range(roster.n)])
 
 
 def cap_and_redistribute(df: DataFrame, keys: Sequence[str], w: str, cap: float, out: str) -> DataFrame:
@@ -65,14 +61,13 @@ def project_to_simplex(df: DataFrame, keys: Sequence[str], v: str, out: str) ->
 
 def explode_members(df: DataFrame, roster: Roster) -> DataFrame:
     """One row per member series of each portfolio."""
-    members = F.array(*[F.when(F.col("mask").bitwiseAND(F.lit(1 << i)) != 0, F.lit(i)) for i in range(roster.n)])
-    return df.withColumn("sleeve", F.explode(F.filter(members, lambda s: s.isNotNull())))
+    return df.withColumn("sleeve", F.explode(F.expr(
+        f"filter(sequence(0, {roster.n - 1}), s -> shiftright(mask, s) & 1 = 1)")))
 
 
 def spread_members(df: DataFrame, keys: Sequence[str], w: str, roster: Roster) -> DataFrame:
     """Back from one row per member to one column per roster series."""
-    cells = [F.coalesce(F.max(F.when(F.col("sleeve") == i, F.col(w))), F.lit(0.0)).alias(f"b_{i}")
-             for i in range(roster.n)]
+    cells = [F.expr(f"coalesce(max({w}) FILTER (WHERE sleeve = {i}), 0D)").alias(f"b_{i}") for i in range(roster.n)]
     return df.groupBy(*keys).agg(*cells)
 
 
