@@ -44,11 +44,11 @@ def annual_sharpe(mean: Column, std: Column, n: Column) -> Column:
 
 
 def percent_text(x: Column, digits: int = 2) -> Column:
-    return F.coalesce(F.concat(F.format_string(f"%.{digits}f", x * 100), F.lit("%")), F.lit("n/a"))
+    return F.when(x.isNotNull(), F.format_string(f"%.{digits}f%%", x * 100)).otherwise("n/a")
 
 
 def fixed_text(x: Column, digits: int = 2) -> Column:
-    return F.coalesce(F.format_string(f"%.{digits}f", x), F.lit("n/a"))
+    return F.when(x.isNotNull(), F.format_string(f"%.{digits}f", x)).otherwise("n/a")
 
 
 def rounded(df, digits: int = 8, **per_column: int):

@@ -1,4 +1,8 @@
-"""Performance metrics: one aggregate per series over its months."""
+"""Performance metrics: one aggregate per series over its months.
+
+The statistics share their counts and moments on purpose: the aggregate stays in generated
+code only while its keys and buffers are at most 100 fields.
+"""
 
 from __future__ import annotations
 
@@ -16,6 +20,11 @@ from tidepanel.operators.weights import weight_columns
 Windows = Mapping[str, tuple[str, str]]
 
 
+def mean(x: Column, n: Column) -> Column:
+    """Average over a count that other statistics use too; null over no rows."""
+    return safe_div(F.sum(x), n.cast("double"))
+
+
 def correlation(x: Column, y: Column) -> Column:
     """Pairwise-complete correlation, null when a side is flat."""
     both = x.isNotNull() & y.isNotNull()
@@ -23,23 +32,29 @@ def correlation(x: Column, y: Column) -> Column:
     return safe_div(F.covar_samp(px, py), F.stddev_samp(px) * F.stddev_samp(py))
 
 
+def paired_correlation(x: Column, y: Column) -> Column:
+    """The same for columns that are null together."""
+    return safe_div(F.covar_samp(x, y), F.sqrt(F.var_samp(x)) * F.sqrt(F.var_samp(y)))
+
+
 def basic(net: str = "net") -> list[Column]:
     x = F.col(net)
+    n = F.count(x)
     return [
-        F.count(x).alias("n_months"),
-        (F.avg(x) * 12).alias("ann_return_net"),
+        n.alias("n_months"),
+        (mean(x, n) * 12).alias("ann_return_net"),
         (F.stddev_samp(x) * math.sqrt(12)).alias("ann_vol"),
-        annual_sharpe(F.avg(x), F.stddev_samp(x), F.count(x)).alias("sharpe_net"),
+        annual_sharpe(mean(x, n), F.stddev_samp(x), n).alias("sharpe_net"),
     ]
 
 
-def costs() -> list[Column]:
-    g = F.col("gross")
+def costs(net: str = "net") -> list[Column]:
+    g, n = F.col("gross"), F.count(net)
     return [
-        (F.avg(g) * 12).alias("ann_return_gross"),
-        annual_sharpe(F.avg(g), F.stddev_samp(g), F.count(g)).alias("sharpe_gross"),
-        F.avg("turnover").alias("avg_turnover"),
-        (F.avg("turnover") * 12).alias("ann_turnover"),
+        (mean(g, n) * 12).alias("ann_return_gross"),
+        annual_sharpe(mean(g, n), F.stddev_samp(g), n).alias("sharpe_gross"),
+        mean(F.col("turnover"), n).alias("avg_turnover"),
+        (mean(F.col("turnover"), n) * 12).alias("ann_turnover"),
     ]
 
 
@@ -52,13 +67,14 @@ def references(net: str = "net") -> list[Column]:
 def both_down(net: str = "net") -> list[Column]:
     hit = F.coalesce(F.col("both_down"), F.lit(False))
     x, eq = F.when(hit, F.col(net)), F.when(hit, F.col("eq_ref"))
+    n = F.count(x)
     return [
-        F.count(x).alias("n_both_down"),
-        zero_if_null(F.avg(x)).alias("both_down_avg_monthly"),
-        zero_if_null(F.avg(x) * 12).alias("both_down_annualized"),
+        n.alias("n_both_down"),
+        zero_if_null(mean(x, n)).alias("both_down_avg_monthly"),
+        zero_if_null(mean(x, n) * 12).alias("both_down_annualized"),
         zero_if_null(F.min(x)).alias("both_down_worst_monthly"),
-        zero_if_null(F.avg((x > 0).cast("double"))).alias("both_down_hit_rate"),
-        zero_if_null(correlation(x, eq)).alias("corr_eq_bothdown"),
+        zero_if_null(mean((x > 0).cast("double"), n)).alias("both_down_hit_rate"),
+        zero_if_null(paired_correlation(x, eq)).alias("corr_eq_bothdown"),
     ]
 
 
@@ -75,8 +91,9 @@ def up_down(net: str = "net") -> list[Column]:
     xd, ed = side(F.col("eq_ref") < 0)
     return [
         beta(xu, eu).alias("upside_beta"), beta(xd, ed).alias("downside_beta"),
-        zero_if_null(F.when(F.count(ed) >= 3, correlation(xd, ed))).alias("downside_corr_eq"),
-        zero_if_null(F.avg(xu) * 12).alias("up_market_ann"), zero_if_null(F.avg(xd) * 12).alias("down_market_ann"),
+        zero_if_null(F.when(F.count(ed) >= 3, paired_correlation(xd, ed))).alias("downside_corr_eq"),
+        zero_if_null(mean(xu, F.count(eu)) * 12).alias("up_market_ann"),
+        zero_if_null(mean(xd, F.count(ed)) * 12).alias("down_market_ann"),
         F.count(eu).alias("n_up_market"), F.count(ed).alias("n_down_market"),
     ]
 
@@ -89,10 +106,12 @@ def seasons(net: str = "net") -> list[Column]:
     def of(name: str) -> Column:
         return F.when(F.col("season") == name, F.col(net))
     stag = of(STAGFLATION)
-    return [*[F.avg(of(name)).alias(season_column(name)) for name in SEASONS.values()],
-            F.avg(stag).alias("season_Stagflation"),
-            F.when(F.count(stag) >= 6, annual_sharpe(F.avg(stag), F.stddev_samp(stag), F.count(stag))).alias("stag_sharpe"),
-            F.count(stag).alias("stag_n")]
+    n = F.count(stag)
+    means = {name: mean(of(name), F.count(of(name))) for name in SEASONS.values()}
+    return [*[m.alias(season_column(name)) for name, m in means.items()],
+            means[STAGFLATION].alias("season_Stagflation"),
+            F.when(n >= 6, annual_sharpe(means[STAGFLATION], F.stddev_samp(stag), n)).alias("stag_sharpe"),
+            n.alias("stag_n")]
 
 
 def crisis_average(windows: Windows, net: str = "net") -> Column:
@@ -100,18 +119,18 @@ def crisis_average(windows: Windows, net: str = "net") -> Column:
     total, n = F.lit(0.0), F.lit(0)
     for start, end in windows.values():
         inside = F.col("period").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
-        total = total + zero_if_null(F.product(F.when(inside, 1 + F.col(net))) - 1)
-        n = n + F.when(F.count(F.when(inside, 1)) > 0, 1).otherwise(0)
+        growth = F.product(F.when(inside, 1 + F.col(net)))
+        total = total + zero_if_null(growth - 1)
+        n = n + growth.isNotNull().cast("int")
     return zero_if_null(safe_div(total, n.cast("double"))).alias("crisis_avg_ret")
 
 
-def trial_metrics(trials: DataFrame, keys: Sequence[str], crisis: Windows | None = None,
-                  carry: Sequence[str] = ()) -> DataFrame:
+def trial_metrics(trials: DataFrame, keys: Sequence[str], crisis: Windows | None = None) -> DataFrame:
     """One row per trial. Needs ``net, gross, turnover`` and the reference columns that are present."""
     have = set(trials.columns)
     df = sg.drawdown(trials, list(keys), "net")
     stats = [*basic(), *costs(), F.min("dd").alias("max_drawdown"),
-             F.sqrt(F.avg(F.col("dd") * F.col("dd"))).alias("ulcer")]
+             F.sqrt(mean(F.col("dd") * F.col("dd"), F.count("net"))).alias("ulcer")]
     if {"eq_ref", "bd_ref"} <= have:
         stats += references()
     if {"both_down", "eq_ref"} <= have:
@@ -123,7 +142,7 @@ def trial_metrics(trials: DataFrame, keys: Sequence[str], crisis: Windows | None
     if crisis:
         stats.append(crisis_average(crisis))
     stats += [F.max_by("notional", "period").alias("gross_notional_last")] if "notional" in have else []
-    out = df.groupBy(*keys, *carry).agg(*stats)
+    out = df.groupBy(*keys).agg(*stats)
     if "upside_beta" in out.columns:
         out = out.withColumn("updown_beta_diff", F.col("upside_beta") - F.col("downside_beta"))
     return out

@@ -17,7 +17,7 @@ from tidepanel.session import materialize
 
 def plan_metrics(plan: TrialPlan, crisis: Windows | None = None) -> DataFrame:
     """Metrics of every planned trial. Each branch keeps its layout, so nothing is shuffled after it."""
-    parts = [trial_metrics(b, TRIAL_KEYS, crisis, carry=["n_sleeves"]) for b in plan.branches]
+    parts = [trial_metrics(b, TRIAL_KEYS, crisis).withColumn("n_sleeves", F.bit_count("mask")) for b in plan.branches]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
