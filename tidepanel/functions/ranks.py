@@ -3,7 +3,7 @@
 The distinct values are counted first (map-side combine, so one value held by a third of
 the rows becomes one row), cut into balanced buckets, numbered inside the buckets and
 offset by the totals of the buckets below. Only the bucket totals meet in one task: there are
-at most ``BUCKETS`` of them per group, which also bounds the broadcasts.
+at most ``MOST_BUCKETS`` of them per group, which also bounds the broadcasts.
 """
 
 from __future__ import annotations
@@ -15,16 +15,19 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidepanel.session import materialize
 
 BUCKETS = 64
+MOST_BUCKETS = 1024
+VALUES_PER_BUCKET = 1_000_000
 
 
-def value_ranks(values: DataFrame, groups: Sequence[str], value: str, buckets: int = BUCKETS) -> DataFrame:
+def value_ranks(values: DataFrame, groups: Sequence[str], value: str, buckets: int | None = None) -> DataFrame:
     """One row per (groups, value): ``n_equal``, ``n_below`` and ``n_total`` of its non-null peers."""
     spark, groups = values.sparkSession, list(groups)
     counts = materialize(values.where(F.col(value).isNotNull())
                          .groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n_equal")))
+    buckets = buckets or min(MOST_BUCKETS, max(BUCKETS, counts.count() // VALUES_PER_BUCKET))
     # One sketch row per group comes back: it may differ between two runs, so both uses share it.
     sketch = counts.groupBy(*groups).agg(
-        F.percentile_approx(F.col(value).cast("double"), [i / buckets for i in range(1, buckets)], 1000).alias("cuts"))
+        F.percentile_approx(F.col(value).cast("double"), [i / buckets for i in range(1, buckets)], 16 * buckets).alias("cuts"))
     bucket = F.size(F.filter("cuts", lambda c: c < F.col(value)))
     if groups:
         cuts = spark.createDataFrame(sketch.collect(), sketch.schema)

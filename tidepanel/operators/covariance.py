@@ -21,12 +21,13 @@ def wide_returns(returns: DataFrame, roster: Roster) -> DataFrame:
 
 
 def refit_rows(returns: DataFrame, months: DataFrame, roster: Roster, trailing: int,
-               inside_window: bool = False) -> DataFrame:
+               inside_window: bool = False, cal: DataFrame | None = None) -> DataFrame:
     """The ``trailing`` calendar rows strictly before each refit, wide, where every series is complete.
 
     ``inside_window`` forbids history from before the window (the first refits then have none).
     """
-    wide = wide_returns(returns, roster).join(F.broadcast(calendar(returns).select("period", "cal_idx")), "period")
+    cal = (calendar(returns) if cal is None else cal).select("period", "cal_idx")
+    wide = wide_returns(returns, roster).join(F.broadcast(cal), "period")
     first = F.min("cal_idx").over(Window.partitionBy("window_id")) if inside_window else F.lit(1)
     refits = months.withColumn("earliest", first).where("is_refit").select(
         "window_id", "refit_no", "earliest", F.col("cal_idx").alias("refit_idx"))
@@ -83,8 +84,10 @@ def shrink(moments: DataFrame, roster: Roster, mode: str = "lw") -> DataFrame:
 
 
 def refit_covariance(returns: DataFrame, months: DataFrame, roster: Roster,
-                     trailing: int = 36, mode: str = "lw", inside_window: bool = False) -> DataFrame:
-    return shrink(refit_moments(refit_rows(returns, months, roster, trailing, inside_window), roster), roster, mode)
+                     trailing: int = 36, mode: str = "lw", inside_window: bool = False,
+                     cal: DataFrame | None = None) -> DataFrame:
+    rows = refit_rows(returns, months, roster, trailing, inside_window, cal)
+    return shrink(refit_moments(rows, roster), roster, mode)
 
 
 def long_entries(cov: DataFrame, roster: Roster) -> DataFrame:

@@ -15,7 +15,6 @@ from tidepanel.functions.scalar import annual_sharpe, safe_div, zero_if_null
 from tidepanel.operators import signals as sg
 from tidepanel.operators.regimes import SEASONS, STAGFLATION
 from tidepanel.operators.universe import Roster, month_ends_between
-from tidepanel.operators.weights import weight_columns
 
 Windows = Mapping[str, tuple[str, str]]
 
@@ -219,15 +218,11 @@ def moments(keys: Sequence[str], df: DataFrame, x: str) -> DataFrame:
 def diversification_ratio(weights: DataFrame, cov: DataFrame, roster: Roster, refit: str = "refit_no") -> DataFrame:
     """w·vol / sqrt(w'Sw) per weight row, joined on (window_id, refit)."""
     n = roster.n
-    b = F.array(*[F.col(c) for c in weight_columns(roster)])
     df = weights.join(F.broadcast(cov.select("window_id", F.col("refit_no").alias(refit), "cov", "vol")),
-                      ["window_id", refit]).withColumn("_b", b)
-    spread = F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), F.lit(0.0),
-                         lambda acc, i: acc + F.get("_b", i) * F.get("vol", i))
-    quad = F.aggregate(F.sequence(F.lit(0), F.lit(n * n - 1)), F.lit(0.0),
-                       lambda acc, k: acc + F.get("_b", F.floor(k / n).cast("int")) * F.get("_b", (k % n).cast("int"))
-                       * F.get("cov", k))
-    return df.withColumn("div_ratio", spread / F.sqrt(F.greatest(quad, F.lit(1e-30)))).drop("_b", "cov", "vol")
+                      ["window_id", refit])
+    spread = " + ".join(f"b_{i} * vol[{i}]" for i in range(n))
+    quad = " + ".join(f"{1 if i == j else 2} * b_{i} * b_{j} * cov[{i * n + j}]" for i in range(n) for j in range(i, n))
+    return df.withColumn("div_ratio", F.expr(f"({spread}) / sqrt(greatest({quad}, 1e-30D))")).drop("cov", "vol")
 
 
 def both_down_drawdown(series: DataFrame, keys: Sequence[str], net: str = "net") -> DataFrame:

@@ -50,7 +50,7 @@ def search(returns: DataFrame, windows: DataFrame, roster: Roster, schemes: Sequ
            available: dict[int, int] | None = None, common: bool = False) -> DataFrame:
     """Every trial of every window with metrics, score and rank (ranked within its window).
 
-    The metrics are written to a checkpoint before ranking: the backtest runs once, and the
+    The metrics are written to a table before ranking: the backtest runs once, and the
     ranking reads a table of one row per trial.
     """
     plan = plan_trials(returns, windows, roster, schemes, settings, context, available=available, common=common)

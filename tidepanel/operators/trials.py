@@ -14,7 +14,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidepanel.functions.scalar import clip, safe_div, zero_if_null
 from tidepanel.functions.sizing import broadcast_if_small
@@ -30,6 +30,8 @@ from tidepanel.session import materialize
 
 ROWS_PER_PARTITION = 500_000
 TRIAL_KEYS = ["window_id", "scheme", "mask"]
+# This month's and (suffix 1) last month's coefficients and returns, one column per series each.
+MARKET_COLUMNS = ("u", "s", "h", "r", "u1", "s1", "r1")
 
 
 @dataclass(frozen=True)
@@ -53,12 +55,11 @@ class TrialSettings:
         return self.cost_bps / 10000.0
 
 
-def window_history(returns: DataFrame, months: DataFrame, rows: int) -> DataFrame:
+def window_history(returns: DataFrame, months: DataFrame, rows: int, cal: DataFrame) -> DataFrame:
     """Returns of each window and of up to ``rows`` calendar rows before it, keyed by window."""
-    cal = calendar(returns).select("period", "cal_idx")
     spans = months.groupBy("window_id").agg(F.min("cal_idx").alias("lo"), F.max("cal_idx").alias("hi"))
     periods = (spans.withColumn("cal_idx", F.explode(F.sequence(
-        F.greatest(F.col("lo") - rows, F.lit(1)), F.col("hi")))).join(F.broadcast(cal), "cal_idx"))
+        F.greatest(F.col("lo") - rows, F.lit(1)), F.col("hi")))).join(F.broadcast(cal.select("period", "cal_idx")), "cal_idx"))
     return returns.join(F.broadcast(periods.select("window_id", "period")), "period")
 
 
@@ -172,11 +173,11 @@ def coefficients(history: DataFrame, macro: DataFrame, roster: Roster, schemes:
 
 
 def market(returns: DataFrame, months: DataFrame, roster: Roster, schemes: Sequence[Scheme],
-           has_covariance: DataFrame | None = None) -> DataFrame:
+           has_covariance: DataFrame | None = None, cal: DataFrame | None = None) -> DataFrame:
     """One row per (window, scheme, month) with this and last month's coefficients of every series."""
     longest = max([sg.HISTORY_ROWS, *(s.lookback for s in schemes)])
     sleeves = returns.where(F.col("entity").isin(list(roster.names)))
-    history = window_history(sleeves, months, longest)
+    history = window_history(sleeves, months, longest, calendar(returns) if cal is None else cal)
     coef = coefficients(history, macro_table(returns, roster, schemes), roster, schemes)
     coef = coef.join(F.broadcast(months), ["window_id", "period"])
     coef = coef.join(sleeves.withColumnRenamed("ret", "r"), ["period", "entity"])
@@ -190,9 +191,8 @@ def market(returns: DataFrame, months: DataFrame, roster: Roster, schemes: Seque
     lagged = lambda c: zero_if_null(F.lag(c).over(series))
     coef = (coef.withColumn("u1", lagged("u")).withColumn("s1", lagged("s")).withColumn("r1", lagged("r"))
             .withColumn("i", roster_position(roster)))
-    columns = ["u", "s", "h", "r", "u1", "s1", "r1"]
     cells = [F.expr(f"coalesce(max({c}) FILTER (WHERE i = {i}), 0D)").alias(f"{c}_{i}")
-             for c in columns for i in range(roster.n)]
+             for c in MARKET_COLUMNS for i in range(roster.n)]
     return coef.groupBy("window_id", "scheme", "base", "period", "m_idx", "refit_no", "is_refit").agg(*cells)
 
 
@@ -288,7 +288,8 @@ def plan_trials(returns: DataFrame, windows: DataFrame, roster: Roster, schemes:
     every window.
     """
     spark = returns.sparkSession
-    months = materialize(window_months(returns, windows, settings.cadence))
+    cal = materialize(calendar(returns))
+    months = materialize(window_months(returns, windows, settings.cadence, cal))
     found = availability(returns, months, roster)
     if available is None:
         available = found
@@ -299,7 +300,7 @@ def plan_trials(returns: DataFrame, windows: DataFrame, roster: Roster, schemes:
             available = {w: shared for w in found}
     needs_cov = any(s.base != "ew" for s in schemes) or settings.overlays_wait_for_covariance
     cov = materialize(refit_covariance(
-        returns, months, roster, settings.trailing, settings.shrink, settings.history_inside_window)) if needs_cov else None
+        returns, months, roster, settings.trailing, settings.shrink, settings.history_inside_window, cal)) if needs_cov else None
 
     counts = {w: combination_count(roster, settings.min_sleeves, settings.max_sleeves, a) for w, a in available.items()}
     n_months = months.count() / max(len(available), 1)
@@ -318,7 +319,10 @@ def plan_trials(returns: DataFrame, windows: DataFrame, roster: Roster, schemes:
     combos = combos.withColumn("window_id", F.col("window_id").cast("int")).repartition(partitions, "window_id", "mask")
 
     wait = cov if settings.overlays_wait_for_covariance else None
-    mk = materialize(market(returns, months, roster, schemes, wait))
+    mk = materialize(market(returns, months, roster, schemes, wait, cal))
+    # Files carry no "not null": say it again, so that the trial-month code needs no null checks.
+    numbers = [f"{c}_{i}" for c in MARKET_COLUMNS for i in range(roster.n)]
+    mk = mk.selectExpr(*[c for c in mk.columns if c not in numbers], *[f"coalesce({c}, 0D) AS {c}" for c in numbers])
     if context is not None:
         mk = mk.join(F.broadcast(context), "period", "left")
     flavors = [s.name for s in schemes if s.flavor]
@@ -337,7 +341,9 @@ def plan_trials(returns: DataFrame, windows: DataFrame, roster: Roster, schemes:
     if any(s.base != "ew" for s in schemes):
         bases = list(dict.fromkeys(s.base for s in schemes if s.base != "ew"))
         weights = materialize(refit_weights(combos, cov, months, roster, bases, settings, partitions))
-        solved = with_previous_weights(weights.repartition(partitions, "window_id", "mask"), roster)
+        named = weight_columns(roster)
+        known = weights.selectExpr(*[c for c in weights.columns if c not in named], *[f"coalesce({c}, 0D) AS {c}" for c in named])
+        solved = with_previous_weights(known.repartition(partitions, "window_id", "mask"), roster)
     branches = []
     for kind, names, legs in groups:
         if not names:

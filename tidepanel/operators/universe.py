@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -35,12 +35,6 @@ class Roster:
         return tuple(x for x in self.names if x not in self.equity and x not in self.bonds)
 
 
-def dimension(df: DataFrame, mapping: Mapping[str, int], column: str = "entity") -> Column:
-    """Position of an entity in a roster as a column expression."""
-    pairs = [x for name, i in mapping.items() for x in (F.lit(name), F.lit(i))]
-    return F.create_map(*pairs)[F.col(column)]
-
-
 def roster_position(roster: Roster) -> Column:
     pairs = [x for i, name in enumerate(roster.names) for x in (F.lit(name), F.lit(i))]
     return F.element_at(F.create_map(*pairs), F.col("entity"))
@@ -93,12 +87,12 @@ def month_ends_between(start: Column, end: Column) -> Column:
     return F.filter(ends, lambda d: (d >= start) & (d <= end))
 
 
-def window_months(returns: DataFrame, windows: DataFrame, cadence: str = "A") -> DataFrame:
+def window_months(returns: DataFrame, windows: DataFrame, cadence: str = "A", cal: DataFrame | None = None) -> DataFrame:
     """Months of every window with their position, refit number and the row of that refit.
 
     ``cadence`` A refits in the first month of each calendar year of the window, M every month.
     """
-    cal = calendar(returns).select("period", "cal_idx")
+    cal = (calendar(returns) if cal is None else cal).select("period", "cal_idx")
     months = (windows.withColumn("period", F.explode(month_ends_between(F.col("start_d"), F.col("end_d"))))
               .join(F.broadcast(cal), "period"))
     by_window = Window.partitionBy("window_id").orderBy("period")

@@ -11,7 +11,7 @@ from tidepanel.operators.universe_tables import flatten_members, merge_universe
 from tidepanel.plans import fixtures as fx
 from tidepanel.plans.oracle import NATION_DIM, levels, names, q, returns, with_
 from tidepanel.plans.registry import query
-from tidepanel.session import ensure_checkpoint_dir
+from tidepanel.session import shared_folder
 from tidepanel.sources import files, panels
 from tidepanel.sources.panels import table
 
@@ -62,9 +62,8 @@ def src_pivot(spark, sf_dir):
 
 @query("src_snapshot", with_(levels("type"), f"SELECT period, entity, {q('level')} AS level FROM lv"))
 def src_snapshot(spark, sf_dir):
-    ensure_checkpoint_dir(spark)
     tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
-    path = f"{spark.sparkContext.getCheckpointDir()}/type_month_{tag}"
+    path = f"{shared_folder(spark)}/tidepanel/type_month_{tag}"
     return files.snapshot(spark, path, lambda: panels.type_month(spark, sf_dir)).select("period", "entity", "level")
 
 
