@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tidepanel.llm import langid, quality
 from tidepanel.llm.packing import pack_documents
 from tidepanel.llm.registry import query, table
 
@@ -12,3 +13,24 @@ from tidepanel.llm.registry import query, table
 def op3_packing(spark, sf_dir) -> DataFrame:
     pieces = pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def remainder(divisor: int):
+    """crc32 of the id as text, by the divisor; null for a null id."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
+
+
+@query("op8_langid")
+def op8_langid(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = langid.fit(docs.filter(remainder(4) != 2))
+    return docs.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), langid.identify(model, F.col("text")).alias("r")) \
+        .select("doc_id", "held_out", F.col("r.language").alias("lang_pred"), "r.score", "r.ambiguous")
+
+
+@query("op6_quality")
+def op6_quality(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = quality.fit(docs.filter(remainder(5) != 0), table(spark, sf_dir, "labels", "doc_id", "quality"))
+    return docs.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), quality.score(model, F.col("text")).alias("score")) \
+        .select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
