@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidepanel.llm import langid, quality
+from tidepanel.llm import langid, perplexity, quality
 from tidepanel.llm.packing import pack_documents
 from tidepanel.llm.registry import query, table
 
@@ -34,3 +34,9 @@ def op6_quality(spark, sf_dir) -> DataFrame:
     model = quality.fit(docs.filter(remainder(5) != 0), table(spark, sf_dir, "labels", "doc_id", "quality"))
     return docs.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), quality.score(model, F.col("text")).alias("score")) \
         .select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op4_perplexity")
+def op4_perplexity(spark, sf_dir) -> DataFrame:
+    return perplexity.judge(table(spark, sf_dir, "documents", "doc_id", "text", "lang")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity")
