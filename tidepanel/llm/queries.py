@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidepanel.llm import langid, perplexity, quality
+from tidepanel.llm import langid, perplexity, quality, simhash
 from tidepanel.llm.packing import pack_documents
 from tidepanel.llm.registry import query, table
 
@@ -40,3 +40,9 @@ def op6_quality(spark, sf_dir) -> DataFrame:
 def op4_perplexity(spark, sf_dir) -> DataFrame:
     return perplexity.judge(table(spark, sf_dir, "documents", "doc_id", "text", "lang")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity")
+
+
+@query("op5_simhash")
+def op5_simhash(spark, sf_dir) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text")).select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
