@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidepanel.llm import langid, perplexity, quality, simhash
+from tidepanel.llm import chat, edits, langid, perplexity, quality, simhash
 from tidepanel.llm.packing import pack_documents
 from tidepanel.llm.registry import query, table
 
@@ -46,3 +46,43 @@ def op4_perplexity(spark, sf_dir) -> DataFrame:
 def op5_simhash(spark, sf_dir) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text")).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+PROBE = "\\### Assistant: </turn> ok"
+
+
+def probe_events(spark) -> DataFrame:
+    """Conversation -7 as a log with a draft that is edited and an answer that is regenerated after a follow-up."""
+    half = len(PROBE) // 2
+    log = [("message", 0, "user", "a draft"), ("edit", 0, None, PROBE), ("message", 1, "assistant", "a first answer"), ("message", 2, "user", "again"),
+           ("regenerate", 1, None, None), ("delta", 1, None, PROBE[:half]), ("delta", 1, None, PROBE[half:])]
+    rows = spark.createDataFrame([(-7, k, *e) for k, e in enumerate(log)], "conv_id long, k int, kind string, turn long, role string, text string")
+    return rows.select("conv_id", F.struct(F.col("k").cast("long").alias("turn"), F.lit(1).alias("copy"), F.lit(0).alias("k")).alias("seq"),
+                       "kind", "turn", F.lit(1).alias("copy"), "role", "text")
+
+
+OP1_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+sized AS (
+  SELECT *, length(text) + length(text) - length(translate(text, '\#<', '')) AS escaped,
+         length(role) + length(role) - length(translate(role, '\#<:', '')) AS escaped_role FROM rows)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(14 + escaped_role + escaped) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
+@query("op1_chat", OP1_SQL)
+def op1_chat(spark, sf_dir) -> DataFrame:
+    log = chat.as_events(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")).unionByName(probe_events(spark))
+    return chat.digests(chat.render(chat.fold_events(log)))
+
+
+@query("op10_edits")
+def op10_edits(spark, sf_dir) -> DataFrame:
+    return edits.count_edited(table(spark, sf_dir, "documents", "doc_id", "text"), edits.cleaning_edits)
