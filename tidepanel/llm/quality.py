@@ -126,7 +126,7 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-        sample_rows: int = 6000, cost: float = 1.0) -> Model:
+        sample_rows: int = 4000, cost: float = 1.0) -> Model:
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")) \
         .filter("id is not null and label in (0, 1)").groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("most")) \
         .filter("label = most").select("id", "label")

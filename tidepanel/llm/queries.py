@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidepanel.llm import chat, decontam, edits, langid, perplexity, quality, secrets, simhash
+from tidepanel.llm import chat, decontam, edits, langid, linededup, perplexity, quality, secrets, simhash
 from tidepanel.llm.packing import pack_documents
 from tidepanel.llm.registry import query, table
 
@@ -125,3 +125,9 @@ def op9_secrets(spark, sf_dir) -> DataFrame:
     count = lambda kind: F.size(kind).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", count("assign"), count("access"), count("hex"), count("random"),
                         F.sha2(secrets.joined("assign", "access", "hex"), 256).alias("base_sha256"), secrets.joined(*secrets.KINDS).alias("spans"))
+
+
+@query("op2_linededup")
+def op2_linededup(spark, sf_dir) -> DataFrame:
+    found = linededup.match_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.array_sort("removed"), ",").alias("removed"), "n_links")

@@ -24,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tidepanel.llm.components import components
 from tidepanel.session import materialize
@@ -47,14 +47,14 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id column, fp (the 64 bits as a long)."""
+    """id column, text_hash, fp (the 64 bits as a long)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=[id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found.view(np.int64))], names=schema.names)
 
-    schema = T.StructType([docs.schema[id_col], T.StructField("fp", T.LongType())])
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("text_hash", T.LongType()), T.StructField("fp", T.LongType())])
+    return docs.select(F.col(id_col), F.col(text_col), F.xxhash64(text_col)).mapInArrow(run, schema)
 
 
 class Tree:
@@ -179,10 +179,30 @@ def links(distinct: DataFrame, count: int, radius: int = 3, piece: int = PIECE)
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: the id column, fp (long), component_id (least id of the component)."""
+    """One row per document: the id column, text_hash, fp (long), root (least fp of the component), component_id (its least id)."""
     prints = materialize(fingerprints(docs, shingle, id_col, text_col))
     distinct = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("least_id")))
     found = components(links(distinct.select("fp"), distinct.count(), radius))
     rooted = distinct.join(found.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return prints.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
+    return prints.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp").select(id_col, "text_hash", "fp", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = 3, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input's columns with one document of each component: the least id, nulls last, then the least hash of its text.
+
+    Of rows that repeat id and text the one with the least hash of all columns stays.
+    """
+    found = near_duplicates(docs, radius, shingle, id_col, text_col)
+    place = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.col("text_hash").alias("hash"))
+    each = materialize(found.groupBy("root", place.alias("place")).agg(F.count("*").alias("n")))
+    first = each.groupBy("root").agg(F.min("place").alias("first"))
+    judged = each.join(first, "root")
+    key = lambda df: df.select(F.col("place.id").alias("_id"), F.col("place.hash").alias("_hash"))
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash"))
+    repeated = key(judged.filter((F.col("place") == F.col("first")) & (F.col("n") > 1)))
+    others = key(judged.filter((F.col("place") != F.col("first")) | (F.col("n") > 1)))
+    rank = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("_mix"))
+    mix = F.xxhash64(*[F.col(c) for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))])
+    again = docs.join(repeated, same).withColumn("_mix", mix).withColumn("_rank", rank).filter("_rank = 1").select(*docs.columns)
+    return docs.join(others, same, "left_anti").unionByName(again)
