@@ -148,9 +148,13 @@ def test_the_grid_never_moves_trial_months(spark, returns):
     settings = TrialSettings(min_sleeves=2, max_sleeves=6)
     plan = plan_trials(returns, windows_frame(spark, [(0, str(month(60)), str(month(90)))]), ROSTER, [Scheme("EW", flavor=False)], settings)
     from tidepanel.operators.metrics import trial_metrics
-    text = trial_metrics(plan.branches[0], TRIAL_KEYS)._jdf.queryExecution().toString()
+    from tidepanel.operators.trials import LAID_OUT
+    text = trial_metrics(plan.branches[0], LAID_OUT)._jdf.queryExecution().toString()
     physical = text[text.index("== Physical Plan =="):]
-    assert physical.count("Exchange hashpartitioning") == 1
+    exchanges = [line for line in physical.splitlines() if "Exchange hashpartitioning" in line]
+    # the portfolios and the market rows, both by window and slot; nothing above their join
+    assert len(exchanges) == 2 and all("hashpartitioning(window_id" in line and "slot" in line for line in exchanges)
+    assert "ShuffledHashJoin [window_id" in physical and "slot" in physical
     assert "NestedLoop" not in physical and "Cartesian" not in physical
 
 

@@ -154,19 +154,26 @@ def d_returns(stored: DataFrame, levels: DataFrame, check: str, min_rows: int) -
 
 
 def d3_twins(panel: DataFrame, pairs: DataFrame, min_rows: int = 100) -> DataFrame:
-    """Listed pairs that should move together. ``pairs``: (a, b, corr_min, max_diff_pct)."""
+    """Listed pairs that should move together, and a summary row. ``pairs``: (a, b, corr_min, max_diff_pct).
+
+    A pair with a missing series or fewer than ``min_rows`` common returns has no row; the summary counts it as n/a.
+    """
     lv = panel.where(F.col("level").isNotNull())
     both = (F.broadcast(pairs).join(lv.select("period", F.col("entity").alias("a"), F.col("level").alias("la")), "a")
             .join(lv.select("period", F.col("entity").alias("b"), F.col("level").alias("lb")), ["period", "b"]))
     order = Window.partitionBy("a", "b").orderBy("period")
     ret = lambda c: safe_div(F.col(c), F.lag(c).over(order)) - 1
     df = both.withColumn("ra", ret("la")).withColumn("rb", ret("lb"))
-    per = df.groupBy("a", "b", "corr_min", "max_diff_pct").agg(
+    per = df.groupBy("a", "b").agg(
         F.count(F.lit(1)).alias("n"), correlation(F.col("ra"), F.col("rb")).alias("corr"),
         (F.max(F.abs(F.col("ra") - F.col("rb"))) * 100).alias("diff")).where(F.col("n") >= min_rows)
     ok = F.coalesce((F.col("corr") >= F.col("corr_min")) & (F.col("diff") <= F.col("max_diff_pct")), F.lit(False))
-    return per.select(*finding("D3 twins", ok, "WARN", text("%s/%s corr=%.4f maxdiff=%.3f%%", F.col("a"), F.col("b"),
-                                                            F.col("corr"), F.col("diff"))))
+    judged = pairs.join(per, ["a", "b"], "left").withColumn("ok", F.when(F.col("n").isNotNull(), ok))
+    rows = judged.where("ok IS NOT NULL").select(*finding("D3 twins", F.col("ok"), "WARN", text(
+        "%s/%s corr=%.4f maxdiff=%.3f%%", F.col("a"), F.col("b"), F.col("corr"), F.col("diff"))))
+    counts = judged.agg(F.count_if("ok").alias("good"), F.count_if(~F.col("ok")).alias("off"), F.count_if(F.col("ok").isNull()).alias("na"))
+    return rows.unionByName(counts.select(*finding("D3 twins summary", F.col("off") == 0, "WARN", text(
+        "%d match, %d differ, %d n/a", F.col("good"), F.col("off"), F.col("na")))))
 
 
 def d4_growth(panel: DataFrame, bigger: str, smaller: str) -> DataFrame:

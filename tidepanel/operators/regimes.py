@@ -75,7 +75,8 @@ def deflate(nominal: DataFrame, deflator: DataFrame) -> DataFrame:
 
 
 def choose_deflator(candidates: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Per period, the return of the first listed series that has one."""
-    picks = [F.max(F.when(F.col("entity") == name, F.col("ret"))) for name in order]
-    return (candidates.where(F.col("entity").isin(list(order))).groupBy("period")
-            .agg(F.coalesce(*picks).alias("ret")))
+    """Returns of the first listed series that has any, as one source for all periods; its holes stay holes."""
+    place = F.array_position(F.array(*[F.lit(x) for x in order]), F.col("entity"))
+    listed = candidates.where(F.col("entity").isin(list(order)) & F.col("ret").isNotNull())
+    first = listed.agg(F.min(place).alias("first"))
+    return listed.join(F.broadcast(first), place == F.col("first")).select("period", "ret")

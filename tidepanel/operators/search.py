@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidepanel.operators.metrics import Windows, diversification_ratio, trial_metrics
 from tidepanel.operators.schemes import Scheme
 from tidepanel.operators.scoring import score_and_rank
-from tidepanel.operators.trials import TRIAL_KEYS, TrialPlan, TrialSettings, plan_trials
+from tidepanel.operators.trials import LAID_OUT, TRIAL_KEYS, TrialPlan, TrialSettings, plan_trials
 from tidepanel.operators.universe import Roster
 from tidepanel.operators.weights import equal_weight
 from tidepanel.session import materialize
@@ -17,7 +17,7 @@ from tidepanel.session import materialize
 
 def plan_metrics(plan: TrialPlan, crisis: Windows | None = None) -> DataFrame:
     """Metrics of every planned trial. Each branch keeps its layout, so nothing is shuffled after it."""
-    parts = [trial_metrics(b, TRIAL_KEYS, crisis).withColumn("n_sleeves", F.bit_count("mask")) for b in plan.branches]
+    parts = [trial_metrics(b, LAID_OUT, crisis).drop("slot").withColumn("n_sleeves", F.bit_count("mask")) for b in plan.branches]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

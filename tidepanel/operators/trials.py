@@ -3,9 +3,12 @@
 Each month rebalances to a target, so the holding that drifted into month t depends on month
 t-1's target and returns only. The *market* table carries, per (window, scheme, month), the
 coefficients of this month and of the month before; a trial-month is then a row-local
-expression over the market row and the portfolio's weights. The trials are laid out by
-(window, portfolio) while they are still few; month expansion, drawdown windows and metric
-aggregates all keep that layout, so the large trial-month table is never shuffled.
+expression over the market row and the portfolio's weights.
+
+Portfolios are dealt into slots by a hash of their mask, and every slot of a window gets its own
+copy of the window's market rows: both sides are laid out by (window, slot) while they are still
+small, at any size by the same plan. Month expansion, drawdown windows and metric aggregates keep
+that layout, so the large trial-month table is never shuffled and no window meets in one task.
 """
 
 from __future__ import annotations
@@ -17,7 +20,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidepanel.functions.scalar import clip, safe_div, zero_if_null
-from tidepanel.functions.sizing import broadcast_if_small
 from tidepanel.operators import signals as sg
 from tidepanel.operators.covariance import refit_covariance
 from tidepanel.operators.returns import calendar
@@ -29,7 +31,9 @@ from tidepanel.operators.weights import equal_weight, inverse_risk, weight_colum
 from tidepanel.session import materialize
 
 ROWS_PER_PARTITION = 500_000
+PARTS_PER_TASK_SLOT = 2  # slots are dealt by hash: some spare ones even the load
 TRIAL_KEYS = ["window_id", "scheme", "mask"]
+LAID_OUT = [*TRIAL_KEYS, "slot"]  # group by these to keep the layout
 # This month's and (suffix 1) last month's coefficients and returns, one column per series each.
 MARKET_COLUMNS = ("u", "s", "h", "r", "u1", "s1", "r1")
 
@@ -230,10 +234,20 @@ def run_months(weighted: DataFrame, roster: Roster, settings: TrialSettings, fix
     return df.select(*keep, "gross", net.alias("net"), "turnover", "notional")
 
 
-def with_previous_weights(weights: DataFrame, roster: Roster) -> DataFrame:
-    """Adds the weights of the refit before (``bp_i``, 0 at the first one)."""
-    over = "OVER (PARTITION BY window_id, mask, base ORDER BY refit_no)"
-    return weights.selectExpr("*", *[f"coalesce(lag(b_{i}) {over}, 0D) AS q_{i}" for i in range(roster.n)])
+def weights_in_one_row(weights: DataFrame, roster: Roster, bases: Sequence[str]) -> DataFrame:
+    """Per portfolio an array of its weights, by base and then refit, so that a month picks its own by position."""
+    entry = F.struct(F.array_position(F.array(*[F.lit(b) for b in bases]), F.col("base")).alias("base_no"), "refit_no", *weight_columns(roster))
+    return weights.groupBy("window_id", "slot", "mask", "n_sleeves").agg(F.array_sort(F.collect_list(entry)).alias("refits"))
+
+
+def pick_weights(joined: DataFrame, roster: Roster, bases: Sequence[str]) -> DataFrame:
+    """``b_i`` of the month's refit and ``bp_i``, the weights in force a month earlier."""
+    base_no = F.array_position(F.array(*[F.lit(b) for b in bases]), F.col("base"))
+    at = ((base_no - 1) * F.expr(f"size(refits) div {len(bases)}") + F.col("refit_no")).cast("int")
+    joined = joined.withColumn("now", F.element_at("refits", at))
+    joined = joined.withColumn("then", F.when(~F.col("is_refit"), F.col("now")).when(F.col("refit_no") > 1, F.element_at("refits", at - 1)))
+    picked = [f"coalesce({x}.b_{i}, 0D) AS {y}_{i}" for x, y in (("now", "b"), ("then", "bp")) for i in range(roster.n)]
+    return joined.drop("refits").selectExpr("*", *picked).drop("now", "then")
 
 
 def refit_weights(combos: DataFrame, cov: DataFrame, months: DataFrame, roster: Roster,
@@ -303,20 +317,24 @@ def plan_trials(returns: DataFrame, windows: DataFrame, roster: Roster, schemes:
         returns, months, roster, settings.trailing, settings.shrink, settings.history_inside_window, cal)) if needs_cov else None
 
     counts = {w: combination_count(roster, settings.min_sleeves, settings.max_sleeves, a) for w, a in available.items()}
-    n_months = months.count() / max(len(available), 1)
-    rows = sum(counts.values()) * len(schemes) * n_months
-    partitions = max(spark.sparkContext.defaultParallelism, math.ceil(rows / ROWS_PER_PARTITION))
+    n_windows = max(len(available), 1)
+    rows = sum(counts.values()) * len(schemes) * months.count() / n_windows if only is None else 0
+    partitions = PARTS_PER_TASK_SLOT * max(spark.sparkContext.defaultParallelism, math.ceil(rows / ROWS_PER_PARTITION))
+    slots = math.ceil(partitions / n_windows)
 
     if only is not None:
         combos = only.select("window_id", "mask").distinct().withColumn("n_sleeves", F.bit_count("mask"))
+    elif not available:
+        combos = spark.createDataFrame([], "window_id int, mask bigint, n_sleeves int")
     else:
-        slots = F.array(*[F.struct(F.lit(w).alias("window_id"), F.lit(a).cast("bigint").alias("available"))
+        spans = F.array(*[F.struct(F.lit(w).alias("window_id"), F.lit(a).cast("bigint").alias("available"))
                           for w, a in available.items()])
         combos = (combinations(spark, roster, settings.min_sleeves, settings.max_sleeves)
-                  .withColumn("slot", F.explode(slots)).select("mask", "n_sleeves", "slot.*")
+                  .withColumn("span", F.explode(spans)).select("mask", "n_sleeves", "span.*")
                   .where(F.col("mask").bitwiseAND(F.bitwise_not("available")) == 0)
                   .select("window_id", "mask", "n_sleeves"))
-    combos = combos.withColumn("window_id", F.col("window_id").cast("int")).repartition(partitions, "window_id", "mask")
+    slot = F.pmod(F.xxhash64("mask"), F.lit(slots)).cast("int")
+    combos = combos.withColumn("window_id", F.col("window_id").cast("int")).withColumn("slot", slot).repartition(partitions, "window_id", "slot")
 
     wait = cov if settings.overlays_wait_for_covariance else None
     mk = materialize(market(returns, months, roster, schemes, wait, cal))
@@ -328,7 +346,7 @@ def plan_trials(returns: DataFrame, windows: DataFrame, roster: Roster, schemes:
     flavors = [s.name for s in schemes if s.flavor]
     mk = mk.withColumn("flavor_funding", F.col("scheme").isin(flavors).cast("double") if flavors else F.lit(0.0))
     extra = [c for c in context.columns if c != "period"] if context is not None else []
-    keep = [*TRIAL_KEYS, "n_sleeves", "period", "m_idx", *extra]
+    keep = [*LAID_OUT, "n_sleeves", "period", "m_idx", *extra]
 
     fixed = [s.name for s in schemes if s.short_name]
     groups = [
@@ -341,24 +359,25 @@ def plan_trials(returns: DataFrame, windows: DataFrame, roster: Roster, schemes:
     if any(s.base != "ew" for s in schemes):
         bases = list(dict.fromkeys(s.base for s in schemes if s.base != "ew"))
         weights = materialize(refit_weights(combos, cov, months, roster, bases, settings, partitions))
-        named = weight_columns(roster)
-        known = weights.selectExpr(*[c for c in weights.columns if c not in named], *[f"coalesce({c}, 0D) AS {c}" for c in named])
-        solved = with_previous_weights(known.repartition(partitions, "window_id", "mask"), roster)
+        solved = weights_in_one_row(weights.withColumn("slot", slot).repartition(partitions, "window_id", "slot"), roster, bases)
+    if only is not None:
+        chosen = only.select(*TRIAL_KEYS).distinct().withColumn("window_id", F.col("window_id").cast("int"))
     branches = []
     for kind, names, legs in groups:
         if not names:
             continue
         drop = [] if legs else [f"{c}_{i}" for c in ("s", "s1") for i in range(roster.n)]
-        part = broadcast_if_small(mk.where(F.col("scheme").isin(names)).drop(*drop))
+        part = mk.where(F.col("scheme").isin(names)).drop(*drop).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+        held = equal_weight(combos, roster) if kind == "ew" else solved
+        if only is None:
+            weighted = held.join(part.repartition(partitions, "window_id", "slot").hint("shuffle_hash"), ["window_id", "slot"])
+        else:  # few chosen trials: each meets the months of its own scheme only
+            held = held.join(chosen.where(F.col("scheme").isin(names)), ["window_id", "mask"])
+            weighted = held.join(part.hint("shuffle_hash"), ["window_id", "scheme", "slot"])
         if kind == "ew":
-            weighted = equal_weight(combos, roster).selectExpr("*", *[f"b_{i} AS bp_{i}" for i in range(roster.n)])
-            weighted = weighted.join(part, "window_id")
+            weighted = weighted.selectExpr("*", *[f"b_{i} AS bp_{i}" for i in range(roster.n)])
         else:
-            weighted = solved.join(part, ["window_id", "base", "refit_no"])
-            weighted = weighted.selectExpr("*", *[f"CASE WHEN is_refit THEN q_{i} ELSE b_{i} END AS bp_{i}" for i in range(roster.n)])
-        if only is not None:
-            # The chosen trials are few; the small side keeps the layout of the big one.
-            weighted = weighted.join(broadcast_if_small(only.select(*TRIAL_KEYS)), TRIAL_KEYS, "left_semi")
+            weighted = pick_weights(weighted, roster, bases)
         branches.append(run_months(weighted, roster, settings, legs, keep))
     return TrialPlan(returns, months, cov, roster, settings, available, branches, combos, weights)
 
@@ -367,4 +386,4 @@ def trial_months(plan: TrialPlan) -> DataFrame:
     out = plan.branches[0]
     for branch in plan.branches[1:]:
         out = out.unionByName(branch)
-    return out
+    return out.drop("slot")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidepanel.functions.scalar import safe_div
 from tidepanel.operators.universe import Roster
@@ -59,29 +59,46 @@ def project_to_simplex(df: DataFrame, keys: Sequence[str], v: str, out: str) ->
     return df.withColumn(out, F.greatest(F.col(v) - F.col("_tau"), F.lit(0.0))).drop("_k", "_tau")
 
 
-def explode_members(df: DataFrame, roster: Roster) -> DataFrame:
-    """One row per member series of each portfolio."""
-    return df.withColumn("sleeve", F.explode(F.expr(
-        f"filter(sequence(0, {roster.n - 1}), s -> shiftright(mask, s) & 1 = 1)")))
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def spread_members(df: DataFrame, keys: Sequence[str], w: str, roster: Roster) -> DataFrame:
-    """Back from one row per member to one column per roster series."""
-    cells = [F.expr(f"coalesce(max({w}) FILTER (WHERE sleeve = {i}), 0D)").alias(f"b_{i}") for i in range(roster.n)]
-    return df.groupBy(*keys).agg(*cells)
+def capped_shares(raw: Column, cap: float) -> Column:
+    """An array divided by its sum and capped as in ``cap_and_redistribute``, row-locally."""
+    zero = F.lit(0.0)
+
+    def shares(w: Column) -> Column:
+        return F.transform(w, lambda x: x / F.aggregate(w, zero, lambda a, b: a + b))
+
+    if not 0.0 < cap < 1.0:
+        return bind(raw, shares)
+
+    def spread(w: Column) -> Column:
+        size = F.size(w)
+
+        def step(x: Column, k: Column) -> Column:
+            rest = F.aggregate(F.slice(F.reverse(F.array_sort(w)), k + 1, size), zero, lambda a, b: a + b)
+            d = (1.0 - k * cap - rest) / (size - k)
+            return F.when(x + d <= cap + 1e-12, d)
+
+        fits = F.filter(F.transform(F.reverse(F.array_sort(w)), step), lambda d: d.isNotNull())
+        more = F.greatest(F.coalesce(F.get(fits, F.lit(0)), zero), zero)
+        return F.when(size * cap < 1.0, F.transform(w, lambda _: F.lit(1.0) / size)).otherwise(F.transform(w, lambda x: F.least(F.lit(cap), x + more)))
+
+    return bind(bind(bind(raw, shares), spread), shares)
 
 
 def inverse_risk(combos: DataFrame, cov: DataFrame, roster: Roster, power: int, cap: float,
                  base: str) -> DataFrame:
     """Inverse volatility (power 1) or variance (power 2), capped, for every refit that has a covariance.
 
-    ``combos`` carries ``window_id`` and is laid out by (window_id, mask): every step below
-    keeps that layout.
+    The members of a portfolio are one array in one row: nothing is exploded or shuffled.
     """
-    members = (explode_members(combos, roster)
-               .join(F.broadcast(cov.select("window_id", "refit_no", "vol")), "window_id"))
-    risk = F.pow(F.element_at("vol", F.col("sleeve") + 1), F.lit(float(power)))
-    raw = members.withColumn("raw", F.lit(1.0) / F.when(risk > 0, risk).otherwise(1e-12))
-    keys = ["window_id", "mask", "n_sleeves", "refit_no"]
-    capped = cap_and_redistribute(raw, keys, "raw", cap, "w")
-    return spread_members(capped, keys, "w", roster).withColumn("base", F.lit(base))
+    held = combos.join(F.broadcast(cov.select("window_id", "refit_no", "vol")), "window_id")
+    members = F.expr(f"filter(sequence(0, {roster.n - 1}), s -> shiftright(mask, s) & 1 = 1)")
+    risk = lambda s: F.pow(F.element_at("vol", s + 1), F.lit(float(power)))
+    held = held.withColumn("raw", F.transform(members, lambda s: F.lit(1.0) / F.when(risk(s) > 0, risk(s)).otherwise(1e-12)))
+    held = held.withColumn("w", capped_shares(F.col("raw"), cap))
+    cells = [f"CASE WHEN shiftright(mask, {i}) & 1 = 1 THEN element_at(w, bit_count(mask & {(1 << i) - 1}L) + 1) ELSE 0D END AS b_{i}" for i in range(roster.n)]
+    return held.selectExpr("window_id", "mask", "n_sleeves", "refit_no", *cells).withColumn("base", F.lit(base))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidepanel.functions.scalar import safe_div
+from tidepanel.functions.scalar import ERF_A, ERF_P, safe_div
 from tidepanel.operators import books as bk
 from tidepanel.operators import metrics as mt
 from tidepanel.operators import returns as rt
@@ -209,6 +209,10 @@ def stress_drilldown(spark, sf_dir):
     return out.withColumn("diff", F.col("winner_ret") - F.col("benchmark_ret"))
 
 
+# The polynomial of functions.scalar.norm_cdf, of z and t = 1 / (1 + p |z| / sqrt 2)
+NORMAL = "0.5 * (1.0 + sign(z) * (1.0 - (" + " + ".join(f"{a} * pow(t, {k + 1})" for k, a in enumerate(ERF_A)) + ") * exp(-z * z / 2.0)))"
+
+
 @query("deflated_sharpe", with_(
     [*FULL_RET, *book_ctes(BOOKS), *FIXED, ("m", "SELECT portfolio, count(net) AS n, skewness(net) AS sk, kurtosis(net) AS ku, "
      "avg(net) / stddev_samp(net) AS sr, sqrt(2 * ln(16902.0)) AS z FROM fx GROUP BY 1"),
@@ -220,7 +224,13 @@ def deflated_sharpe(spark, sf_dir):
     return st.deflated_sharpe(series, ["portfolio"], F.lit(16902)).drop("dsr_prob")
 
 
-@query("dsr_probability")
+@query("dsr_probability", with_(
+    [*FULL_RET, *book_ctes(BOOKS), *FIXED, ("m", "SELECT portfolio, count(net) AS n, skewness(net) AS sk, kurtosis(net) AS ku, "
+     "avg(net) / stddev_samp(net) AS sr, sqrt(2 * ln(16902.0)) AS z FROM fx GROUP BY 1"),
+     ("s", "SELECT *, (z - 0.5772156649015329 / z) / sqrt(n) AS sr0 FROM m"),
+     ("v", "SELECT portfolio, n, (sr - sr0) * sqrt(n - 1) / sqrt(greatest(1 - sk * sr + (ku - 1) / 4 * sr * sr, 1e-12)) AS z FROM s"),
+     ("e", f"SELECT *, 1.0 / (1.0 + {ERF_P} * abs(z) / sqrt(2.0)) AS t FROM v")],
+    f"SELECT portfolio, n, {q('z')} AS z, {q(NORMAL)} AS dsr_prob FROM e"))
 def dsr_probability(spark, sf_dir):
     series = bk.gross_months(book(spark, sf_dir))
     return st.deflated_sharpe(series, ["portfolio"], F.lit(16902)).select("portfolio", "n", "z", "dsr_prob")

@@ -90,12 +90,14 @@ def overlap_regime(spark, sf_dir):
 
 @query("real_return", with_(
     [*BRAND, *returns("priority", "cpi"),
-     ("d", "SELECT period, coalesce(max(ret) FILTER (src = 1), max(ret) FILTER (src = 2)) AS d FROM ("
-      "SELECT period, ret, 1 AS src FROM cpi WHERE entity = 'cpi' UNION ALL SELECT period, ret, 2 FROM cpi WHERE entity = '5-LOW') GROUP BY 1")],
+     ("d", "SELECT period, ret AS d FROM cpi WHERE entity = (SELECT min(entity) FROM cpi WHERE entity IN ('4-NOT SPECIFIED', '5-LOW') AND ret IS NOT NULL) "
+      "AND NOT (entity = '4-NOT SPECIFIED' AND month(period) = 7)")],
     f"SELECT period, entity, {q('ret')} AS ret, {q('(1 + ret) / (1 + coalesce(d, 0)) - 1')} AS real_ret FROM ret LEFT JOIN d USING (period)"))
 def real_return(spark, sf_dir):
-    levels_ = panels.priority_month(spark, sf_dir)
-    deflator = rg.choose_deflator(rt.non_null(rt.simple_returns(levels_)), ["cpi", "5-LOW"])
+    """The first source has a hole every July, which counts as no inflation and isn't filled from the second."""
+    candidates = rt.non_null(rt.simple_returns(panels.priority_month(spark, sf_dir)))
+    holed = candidates.where((F.col("entity") != "4-NOT SPECIFIED") | (F.month("period") != 7))
+    deflator = rg.choose_deflator(holed, ["6-NONE", "4-NOT SPECIFIED", "5-LOW"])
     return rg.deflate(brand_returns(spark, sf_dir), deflator)
 
 

@@ -154,7 +154,7 @@ w_invvol, w_invvar = inverse("invvol", 1), inverse("invvar", 2)
 
 
 @query("w_capped", with_(
-    [*levels("priority"), ("src", "SELECT period, entity AS sleeve, level * level AS w0 FROM lv"), *ts.capped_ctes("src", "period", 0.25, 6, "cp")],
+    [*levels("priority"), ("src", "SELECT period, entity AS sleeve, level * level AS w0 FROM lv"), *ts.capped_ctes("src", "period", 0.25, "cp", "sleeve")],
     f"SELECT period, sleeve, {q('w')} AS w FROM cp"))
 def w_capped(spark, sf_dir):
     raw = panels.priority_month(spark, sf_dir).select("period", F.col("entity").alias("sleeve"), (F.col("level") * F.col("level")).alias("raw"))

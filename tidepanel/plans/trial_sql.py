@@ -81,15 +81,18 @@ def covariance_ctes(trailing: int, mode: str = "lw") -> list[CTE]:
     ]
 
 
-def capped_ctes(source: str, group: str, cap: float, rounds: int, out: str) -> list[CTE]:
-    """Clip and spread the excess over the free members, round by round. ``source`` has ``w0``."""
+def capped_ctes(source: str, group: str, cap: float, out: str, tie: str = "i") -> list[CTE]:
+    """Clip and spread the excess over the free members, in closed form: w + d, cut at the cap. ``source`` has ``w0``."""
     part = f"PARTITION BY {group}"
-    ctes = [(f"{out}_0", f"SELECT *, w0 / sum(w0) OVER ({part}) AS w, count(*) OVER ({part}) AS sz FROM {source}")]
-    for k in range(rounds):
-        ctes.append((f"{out}_{k + 1}", f"SELECT * EXCLUDE (w), CASE WHEN sz * {cap} < 1.0 THEN 1.0 / sz WHEN w >= {cap} THEN {cap} "
-                     f"ELSE w + coalesce(sum(greatest(w - {cap}, 0)) OVER ({part}), 0) / nullif(count(*) FILTER (w < {cap}) OVER ({part}), 0) END AS w FROM {out}_{k}"))
-    ctes.append((out, f"SELECT * EXCLUDE (w), w / sum(w) OVER ({part}) AS w FROM {out}_{rounds}"))
-    return ctes
+    down = f"{part} ORDER BY w DESC, {tie}"
+    return [
+        (f"{out}_0", f"SELECT *, w0 / sum(w0) OVER ({part}) AS w, count(*) OVER ({part}) AS sz FROM {source}"),
+        (f"{out}_1", f"SELECT *, row_number() OVER ({down}) - 1 AS k, sum(w) OVER ({down} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM {out}_0"),
+        (f"{out}_2", f"SELECT *, (1.0 - k * {cap} - rest) / (sz - k) AS d FROM {out}_1"),
+        (f"{out}_3", f"SELECT * EXCLUDE (w, d), CASE WHEN sz * {cap} < 1.0 THEN 1.0 / sz ELSE least({cap}, w + greatest(coalesce("
+         f"arg_min(d, k) FILTER (w + d <= {cap} + 1e-12) OVER ({part}), 0.0), 0.0)) END AS w FROM {out}_2"),
+        (out, f"SELECT * EXCLUDE (w), w / sum(w) OVER ({part}) AS w FROM {out}_3"),
+    ]
 
 
 def weights_ctes(bases: Sequence[str], cap: float) -> list[CTE]:
@@ -102,7 +105,7 @@ def weights_ctes(bases: Sequence[str], cap: float) -> list[CTE]:
             continue
         power = {"invvol": 1, "invvar": 2}[base]
         ctes.append((f"raw_{base}", f"SELECT m.window_id, mask, refit_no, m.i, 1.0 / pow(v, {power}) AS w0 FROM mem m JOIN vol ON vol.window_id = m.window_id AND vol.i = m.i"))
-        ctes += capped_ctes(f"raw_{base}", "window_id, mask, refit_no", cap, 8, f"cap_{base}")
+        ctes += capped_ctes(f"raw_{base}", "window_id, mask, refit_no", cap, f"cap_{base}")
         parts.append(f"SELECT window_id, mask, refit_no, '{base}' AS base, i, w AS b FROM cap_{base}")
         parts.append(ew.format(b=base) + " WHERE NOT EXISTS (SELECT 1 FROM xg WHERE xg.window_id = rf.window_id AND xg.refit_no = rf.refit_no)")
     return [*ctes, ("bw", " UNION ALL ".join(parts))]

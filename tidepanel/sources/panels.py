@@ -2,15 +2,16 @@
 
 A level is the mean price of a cell: whole cents summed as integers, divided once. The
 sum is exact, so the level does not depend on how the rows were split.
+
+Every panel is written once and read back: what follows (calendar, returns, references) goes over the
+panel several times, but over the facts only once.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidepanel.functions.sizing import within
-
-DIMENSION_BROADCAST_ROWS = 200_000
+from tidepanel.session import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,18 +30,14 @@ def _by_dimension(facts: DataFrame, key: str, price: str, period: Column,
                   dim: DataFrame, dim_key: str, entity: str) -> DataFrame:
     """Mean level by (period, dimension attribute).
 
-    A counted small dimension is broadcast, so the facts never move. Otherwise the facts are
-    first summed by (key, period): a key that holds a third of them shrinks to one row per
-    period before the join shuffles it.
+    The facts are first summed by (key, period): a key that holds a third of them shrinks to one
+    row per period before the join, whose kind Spark chooses by the measured sizes.
     """
     facts = facts.select(F.col(key).alias("k"), period.alias("period"),
                          _cents(price).alias("cents"), F.lit(1).cast("bigint").alias("n"))
     dim = dim.select(F.col(dim_key).alias("k"), F.col(entity).alias("entity"))
-    if within(dim, DIMENSION_BROADCAST_ROWS):
-        joined = facts.join(F.broadcast(dim), "k")
-    else:
-        joined = facts.groupBy("k", "period").agg(F.sum("cents").alias("cents"), F.sum("n").alias("n")).join(dim, "k")
-    return joined.groupBy("period", "entity").agg(_level("cents", "n").alias("level"))
+    joined = facts.groupBy("k", "period").agg(F.sum("cents").alias("cents"), F.sum("n").alias("n")).join(dim, "k")
+    return materialize(joined.groupBy("period", "entity").agg(_level("cents", "n").alias("level")))
 
 
 def brand_month(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,10 +51,10 @@ def type_month(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _orders_by(spark: SparkSession, sf_dir: str, entity: str, period: Column) -> DataFrame:
-    return (table(spark, sf_dir, "orders")
-            .select(period.alias("period"), F.col(entity).alias("entity"),
-                    _cents("o_totalprice").alias("cents"), F.lit(1).cast("bigint").alias("n"))
-            .groupBy("period", "entity").agg(_level("cents", "n").alias("level")))
+    return materialize(table(spark, sf_dir, "orders")
+                       .select(period.alias("period"), F.col(entity).alias("entity"),
+                               _cents("o_totalprice").alias("cents"), F.lit(1).cast("bigint").alias("n"))
+                       .groupBy("period", "entity").agg(_level("cents", "n").alias("level")))
 
 
 def priority_month(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +87,7 @@ def region_month(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (table(spark, sf_dir, "events")
-            .select(F.to_date("ts").alias("period"), F.col("event_type").alias("entity"),
-                    _cents("value").alias("cents"), F.lit(1).cast("bigint").alias("n"))
-            .groupBy("period", "entity").agg(_level("cents", "n").alias("level")))
+    return materialize(table(spark, sf_dir, "events")
+                       .select(F.to_date("ts").alias("period"), F.col("event_type").alias("entity"),
+                               _cents("value").alias("cents"), F.lit(1).cast("bigint").alias("n"))
+                       .groupBy("period", "entity").agg(_level("cents", "n").alias("level")))
