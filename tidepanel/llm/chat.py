@@ -67,7 +67,8 @@ def render(messages: DataFrame) -> DataFrame:
 
 
 ESCAPED = re.compile(r"\\(.)", re.S)
-TURN = re.compile(r"### ((?:[^\\#<:]+|\\.)*): ((?:[^\\#<]+|\\.)*)</turn>\n", re.S)
+#: Possessive, so that an unfinished turn is given up at once.
+TURN = re.compile(r"### ((?:[^\\#<:]++|\\.)*+): ((?:[^\\#<]++|\\.)*+)</turn>\n", re.S)
 
 
 class Reader:
