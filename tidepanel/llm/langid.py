@@ -47,7 +47,7 @@ def codebook(classes: int, seed: int = 7) -> np.ndarray:
     """Codewords as rows: all distinct splits for up to 5 classes, else the best of 100 random codes of 10 log2(classes) bits."""
     if classes <= 5:
         bits = max(1, (1 << (classes - 1)) - 1)
-        return np.array([[1 if c == 0 else 2 * (((b + 1) >> (c - 1)) & 1) - 1 for b in range(bits)] for c in range(classes)])
+        return np.array([[1 if c == 0 else 1 - 2 * (((b + 1) >> (c - 1)) & 1) for b in range(bits)] for c in range(classes)])
     rng, best, widest = np.random.default_rng(seed), None, -1
     for _ in range(100):
         code = rng.choice([-1, 1], size=(classes, int(np.ceil(10 * np.log2(classes)))))
