@@ -96,7 +96,7 @@ def fit_bits(x: np.ndarray, y: np.ndarray, rounds: int = 300, l2: float = 1e-5)
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
-        sample_rows: int = 4000, margin: float = 0.5) -> Model:
+        sample_rows: int = 2000, margin: float = 0.5) -> Model:
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")) \
         .filter("text is not null and lang is not null")
 
