@@ -240,3 +240,22 @@ def test_audit_finds_what_is_wrong(spark):
     assert audit.a2_unique(bad.unionByName(bad)).first().severity == "FAIL"
     moved = spark.createDataFrame([(1, 5), (2, 4), (1_000_001, 3)], "k long, p int")
     assert audit.a1_sorted(moved, "k", "p").first().detail == "2 inversions"
+
+
+def test_covariance_of_the_available_series(spark):
+    """A series that starts late doesn't switch off the covariances of the others."""
+    import datetime
+    ends = [(pd.Timestamp("2000-01-31") + pd.offsets.MonthEnd(k)).date() for k in range(48)]
+    rng = np.random.default_rng(2)
+    rows = [(d, e, float(rng.normal(0, 0.02))) for k, d in enumerate(ends) for e in ("a", "b", "c", "d") if e != "d" or k >= 40]
+    r = spark.createDataFrame(rows, "period date, entity string, ret double")
+    from tidepanel.operators.universe import Roster, window_months
+    roster = Roster(("a", "b", "c", "d"), ("a",), ("b",))
+    months = window_months(r, windows_frame(spark, [(0, "2002-01-31", str(ends[-1]))]))
+    assert refit_covariance(r, months, roster, 12).count() == 0
+    got = refit_covariance(r, months, roster, 12, "none", available={0: 0b111}).collect()
+    assert len(got) == 2
+    data = r.where(F.col("period") < datetime.date(2002, 1, 31)).toPandas().pivot(index="period", columns="entity", values="ret").tail(12)
+    want = data[["a", "b", "c"]].cov().to_numpy()
+    mine = np.array(next(g for g in got if g.refit_no == 1)["cov"]).reshape(4, 4)
+    assert np.allclose(mine[:3, :3], want) and not mine[3].any()

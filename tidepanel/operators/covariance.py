@@ -21,10 +21,11 @@ def wide_returns(returns: DataFrame, roster: Roster) -> DataFrame:
 
 
 def refit_rows(returns: DataFrame, months: DataFrame, roster: Roster, trailing: int,
-               inside_window: bool = False, cal: DataFrame | None = None) -> DataFrame:
-    """The ``trailing`` calendar rows strictly before each refit, wide, where every series is complete.
+               inside_window: bool = False, cal: DataFrame | None = None, available: dict[int, int] | None = None) -> DataFrame:
+    """The ``trailing`` calendar rows strictly before each refit, wide, where every available series is complete.
 
-    ``inside_window`` forbids history from before the window (the first refits then have none).
+    ``available`` is the bitmask of the series that count, per window (all, if not given); the column ``avail`` carries
+    it on. ``inside_window`` forbids history from before the window (the first refits then have none).
     """
     cal = (calendar(returns) if cal is None else cal).select("period", "cal_idx")
     wide = wide_returns(returns, roster).join(F.broadcast(cal), "period")
@@ -36,7 +37,13 @@ def refit_rows(returns: DataFrame, months: DataFrame, roster: Roster, trailing:
                 F.greatest(F.col("refit_idx") - trailing, F.col("earliest")), F.col("refit_idx") - 1)))
             .join(F.broadcast(wide), "cal_idx"))
     whole = Window.partitionBy("window_id", "refit_no")
-    complete = F.expr(" AND ".join(f"r_{i} IS NOT NULL" for i in range(roster.n)))
+    everything = F.lit((1 << roster.n) - 1).cast("bigint")
+    if available is None:
+        rows = rows.withColumn("avail", everything)
+    else:
+        spans = rows.sparkSession.createDataFrame([(w, a) for w, a in available.items() if a], "window_id int, avail bigint")
+        rows = rows.join(F.broadcast(spans), "window_id")  # a row per window
+    complete = F.expr(" AND ".join(f"(r_{i} IS NOT NULL OR shiftright(avail, {i}) & 1 = 0)" for i in range(roster.n)))
     return (rows.withColumn("n_rows", F.count(F.lit(1)).over(whole))
             .withColumn("n_complete", F.count(F.when(complete, 1)).over(whole))
             .where((F.col("n_rows") >= MIN_ROWS) & (F.col("n_rows") == F.col("n_complete"))))
@@ -47,12 +54,13 @@ def pair(i: int, j: int) -> str:
 
 
 def refit_moments(rows: DataFrame, roster: Roster) -> DataFrame:
-    """Population covariances and the fourth-moment sum ``q`` of the demeaned rows, per refit."""
+    """Population covariances and the fourth-moment sum ``q`` of the demeaned rows, per refit; 0 for series that aren't available."""
     n = roster.n
     over = "OVER (PARTITION BY window_id, refit_no)"
-    demeaned = rows.selectExpr("window_id", "refit_no", *[f"r_{i} - avg(r_{i}) {over} AS x_{i}" for i in range(n)])
+    demeaned = rows.selectExpr("window_id", "refit_no", "avail", *[
+        f"CASE WHEN shiftright(avail, {i}) & 1 = 1 THEN r_{i} - avg(r_{i}) {over} ELSE 0D END AS x_{i}" for i in range(n)])
     norm = " + ".join(f"x_{i} * x_{i}" for i in range(n))
-    return demeaned.groupBy("window_id", "refit_no").agg(
+    return demeaned.groupBy("window_id", "refit_no", "avail").agg(
         F.count(F.lit(1)).alias("n_rows"), F.expr(f"sum(({norm}) * ({norm}))").alias("q"),
         *[F.expr(f"avg(x_{i} * x_{j})").alias(pair(i, j)) for i in range(n) for j in range(i, n)])
 
@@ -66,9 +74,9 @@ def shrink(moments: DataFrame, roster: Roster, mode: str = "lw") -> DataFrame:
     n = roster.n
     trace = " + ".join(pair(i, i) for i in range(n))
     frob = " + ".join(f"{1 if i == j else 2} * {pair(i, j)} * {pair(i, j)}" for i in range(n) for j in range(i, n))
-    df = moments.selectExpr("*", f"({trace}) / {n} AS mu", f"{frob} AS frob", "double(n_rows) AS t")
-    df = df.selectExpr("*", f"(frob - {n} * mu * mu) / {n} AS d2")
-    df = df.selectExpr("*", f"least((q - t * frob) / (t * t * {n}), d2) AS b2")
+    df = moments.selectExpr("*", "double(bit_count(avail)) AS n", f"{frob} AS frob", "double(n_rows) AS t").selectExpr("*", f"({trace}) / n AS mu")
+    df = df.selectExpr("*", "(frob - n * mu * mu) / n AS d2")
+    df = df.selectExpr("*", "least((q - t * frob) / (t * t * n), d2) AS b2")
     delta = "least(greatest(CASE WHEN d2 > 0 THEN b2 / d2 ELSE 0D END, 0D), 1D)" if mode == "lw" else "0D"
     df = df.selectExpr("*", f"{delta} AS delta")
 
@@ -85,8 +93,8 @@ def shrink(moments: DataFrame, roster: Roster, mode: str = "lw") -> DataFrame:
 
 def refit_covariance(returns: DataFrame, months: DataFrame, roster: Roster,
                      trailing: int = 36, mode: str = "lw", inside_window: bool = False,
-                     cal: DataFrame | None = None) -> DataFrame:
-    rows = refit_rows(returns, months, roster, trailing, inside_window, cal)
+                     cal: DataFrame | None = None, available: dict[int, int] | None = None) -> DataFrame:
+    rows = refit_rows(returns, months, roster, trailing, inside_window, cal, available)
     return shrink(refit_moments(rows, roster), roster, mode)
 
 

@@ -47,13 +47,13 @@ def diversification(plan: TrialPlan, combos: DataFrame, schemes: Sequence[Scheme
 
 def search(returns: DataFrame, windows: DataFrame, roster: Roster, schemes: Sequence[Scheme],
            settings: TrialSettings, context: DataFrame, mode: str, crisis: Windows | None = None,
-           available: dict[int, int] | None = None, common: bool = False) -> DataFrame:
+           available: dict[int, int] | None = None, common: bool = False, also: DataFrame | None = None) -> DataFrame:
     """Every trial of every window with metrics, score and rank (ranked within its window).
 
     The metrics are written to a table before ranking: the backtest runs once, and the
     ranking reads a table of one row per trial.
     """
-    plan = plan_trials(returns, windows, roster, schemes, settings, context, available=available, common=common)
+    plan = plan_trials(returns, windows, roster, schemes, settings, context, available=available, common=common, also=also)
     metrics = plan_metrics(plan, crisis)
     if plan.cov is not None and plan.combos is not None:
         ratio = diversification(plan, plan.combos, schemes, plan.weights)

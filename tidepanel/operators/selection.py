@@ -72,13 +72,16 @@ def test_windows(folds: DataFrame) -> DataFrame:
 
 
 def select_and_hold(returns: DataFrame, folds: DataFrame, roster: Roster, schemes: Sequence[Scheme],
-                    settings: TrialSettings, context: DataFrame, mode: str) -> tuple[DataFrame, DataFrame, TrialPlan]:
+                    settings: TrialSettings, context: DataFrame, mode: str,
+                    also: DataFrame | None = None) -> tuple[DataFrame, DataFrame, TrialPlan]:
     """All folds in one job: search every training window, then hold each winner over its test window.
 
+    ``also``: windows in which a series must be complete to be searched; a winner without data in its test window is not held.
+
     Returns the winners (with their training metrics), the out-of-sample months and the test plan.
     """
     folds = materialize(folds)
-    ranked = search(returns, train_windows(folds), roster, schemes, settings, context, mode)
+    ranked = search(returns, train_windows(folds), roster, schemes, settings, context, mode, also=also)
     chosen = materialize(winners(ranked))
     plan = evaluate(returns, test_windows(folds), chosen.select(*TRIAL_KEYS), roster, schemes, settings, context)
     return chosen, trial_months(plan), plan

@@ -293,28 +293,35 @@ class TrialPlan:
 def plan_trials(returns: DataFrame, windows: DataFrame, roster: Roster, schemes: Sequence[Scheme],
                 settings: TrialSettings, context: DataFrame | None = None,
                 only: DataFrame | None = None, available: dict[int, int] | None = None,
-                common: bool = False) -> TrialPlan:
+                common: bool = False, also: DataFrame | None = None) -> TrialPlan:
     """Plan all trial-months of the windows.
 
     ``returns`` is a materialised panel without nulls. ``context`` holds period-level columns
     (references, season) that ride along with the market rows. ``only`` restricts the trials to
-    given (window_id, scheme, mask) rows. ``common`` keeps a series only if it is complete in
-    every window.
+    given (window_id, scheme, mask) rows; one with a series that is incomplete in its window has no
+    data there and is left out. ``common`` keeps a series only if it is complete in every window, ``also`` only
+    if it is complete in those windows (``window_id``, ``start_d``, ``end_d``) too.
     """
     spark = returns.sparkSession
     cal = materialize(calendar(returns))
     months = materialize(window_months(returns, windows, settings.cadence, cal))
     found = availability(returns, months, roster)
     if available is None:
-        available = found
+        available = dict(found)
         if common and found:
             shared = (1 << roster.n) - 1
             for mask in found.values():
                 shared &= mask
             available = {w: shared for w in found}
+    if also is not None:
+        more = availability(returns, window_months(returns, also, settings.cadence, cal), roster)
+        shared = (1 << roster.n) - 1 if more else 0
+        for mask in more.values():
+            shared &= mask
+        available = {w: mask & shared for w, mask in available.items()}
     needs_cov = any(s.base != "ew" for s in schemes) or settings.overlays_wait_for_covariance
     cov = materialize(refit_covariance(
-        returns, months, roster, settings.trailing, settings.shrink, settings.history_inside_window, cal)) if needs_cov else None
+        returns, months, roster, settings.trailing, settings.shrink, settings.history_inside_window, cal, available)) if needs_cov else None
 
     counts = {w: combination_count(roster, settings.min_sleeves, settings.max_sleeves, a) for w, a in available.items()}
     n_windows = max(len(available), 1)
@@ -323,6 +330,8 @@ def plan_trials(returns: DataFrame, windows: DataFrame, roster: Roster, schemes:
     slots = math.ceil(partitions / n_windows)
 
     if only is not None:
+        held = spark.createDataFrame(list(found.items()), "window_id int, found bigint")
+        only = only.join(F.broadcast(held), "window_id").where(F.col("mask").bitwiseAND(F.bitwise_not("found")) == 0).drop("found")
         combos = only.select("window_id", "mask").distinct().withColumn("n_sleeves", F.bit_count("mask"))
     elif not available:
         combos = spark.createDataFrame([], "window_id int, mask bigint, n_sleeves int")

@@ -31,10 +31,10 @@ COV3 = SCORED[:3]
 TRIAL = ["window_id", "scheme", "mask"]
 
 
-def ranked(spark, sf_dir, schemes, mode: str, spans=(fx.TRAIN,), r=None, ctx=None, common: bool = False) -> DataFrame:
+def ranked(spark, sf_dir, schemes, mode: str, spans=(fx.TRAIN,), r=None, ctx=None, also=None) -> DataFrame:
     r = fx.brand_returns(spark, sf_dir) if r is None else r
     ctx = fx.context(spark, sf_dir, r) if ctx is None else ctx
-    return search(r, fx.window(spark, *spans), R, schemes, S, ctx, mode, common=common)
+    return search(r, fx.window(spark, *spans), R, schemes, S, ctx, mode, also=also)
 
 
 for _mode, _name in (("v1", "score_v1"), ("default", "score_default"), ("asymmetric", "score_asym"),
@@ -92,10 +92,9 @@ def test_grid(only: str, schemes, spans=(fx.TEST,), win=None) -> list:
     return [(n, b.replace("zz_only", only)) for n, b in done]
 
 
-TRAIN_TEST = ts.search_ctes((fx.TRAIN, fx.TEST), SCORED, "asymmetric2", common=True)
 AT_TRAIN = ("atr", "SELECT *, 0 AS one FROM sco WHERE window_id = 0 ORDER BY rank, mask, scheme LIMIT 50")
 SWAP = ("pickd", "SELECT 0 AS window_id, scheme, mask FROM atr")
-EVAL = [*ts.search_ctes((fx.TRAIN,), SCORED, "asymmetric2"), AT_TRAIN, SWAP, *test_grid("pickd", SCORED),
+EVAL = [*ts.search_ctes((fx.TRAIN,), SCORED, "asymmetric2", also=fx.TEST), AT_TRAIN, SWAP, *test_grid("pickd", SCORED),
         *ts.score_ctes("asymmetric2", "te_metd", "tsc"),
         ("ev", "SELECT tsc.*, tsc.rank AS test_rank, tsc.resilience_score AS test_score, atr.rank AS train_rank, atr.resilience_score AS train_score, atr.sharpe_net AS train_sharpe, "
          "atr.both_down_annualized AS train_both_down_ann FROM tsc JOIN atr USING (scheme, mask)")]
@@ -105,7 +104,7 @@ EV_COLUMNS = ["train_score", "train_sharpe", "sharpe_net", "ann_return_net", "bo
 def evaluation(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     r = fx.brand_returns(spark, sf_dir)
     ctx = fx.context(spark, sf_dir, r)
-    train = ranked(spark, sf_dir, SCORED, "asymmetric2", r=r, ctx=ctx)
+    train = ranked(spark, sf_dir, SCORED, "asymmetric2", r=r, ctx=ctx, also=fx.window(spark, fx.TEST))
     return train, sl.test_of_top(r, train, 50, fx.window(spark, fx.TEST), R, SCORED, S, ctx, "asymmetric2")
 
 
@@ -157,7 +156,7 @@ def overfit_diag(spark, sf_dir):
     return st.overfit_diagnostics(train, materialize(ev))
 
 
-MENU_SQL = [*ts.search_ctes((fx.TRAIN,), EWS, "asymmetric2"), BEST, ("pickd", "SELECT 0 AS window_id, scheme, mask FROM best"),
+MENU_SQL = [*ts.search_ctes((fx.TRAIN,), EWS, "asymmetric2", also=fx.TEST), BEST, ("pickd", "SELECT 0 AS window_id, scheme, mask FROM best"),
             *rename([*ts.trial_ctes((fx.TEST,), R, EWS, S, only="zz_only"), *ts.metric_ctes()], "te_")]
 MENU_SQL = [(n, b.replace("zz_only", "pickd")) for n, b in MENU_SQL]
 
@@ -165,7 +164,7 @@ MENU_SQL = [(n, b.replace("zz_only", "pickd")) for n, b in MENU_SQL]
 def menu_metrics(spark, sf_dir) -> DataFrame:
     r = fx.brand_returns(spark, sf_dir)
     ctx = fx.context(spark, sf_dir, r)
-    best = winners(ranked(spark, sf_dir, EWS, "asymmetric2", r=r, ctx=ctx), ["window_id", "scheme"])
+    best = winners(ranked(spark, sf_dir, EWS, "asymmetric2", r=r, ctx=ctx, also=fx.window(spark, fx.TEST)), ["window_id", "scheme"])
     return plan_metrics(evaluate(r, fx.window(spark, fx.TEST), best.select(*TRIAL), R, EWS, S, ctx))
 
 
@@ -204,10 +203,10 @@ def folds(spark, sf_dir):
     return folds_of(spark, rt.non_null(rt.simple_returns(panels.brand_month(spark, sf_dir))))
 
 
-def hold_ctes(fold_ctes, mode: str, schemes) -> list:
+def hold_ctes(fold_ctes, mode: str, schemes, also=None) -> list:
     n = len(BRAND)
     train = [*CONTEXT, *fold_ctes,
-             *ts.trial_ctes((), R, schemes, S, win=("win", "SELECT window_id, start_d, train_end AS end_d FROM folds")),
+             *ts.trial_ctes((), R, schemes, S, win=("win", "SELECT window_id, start_d, train_end AS end_d FROM folds"), also=also),
              *ts.metric_ctes(), *ts.div_ctes(schemes), *ts.score_ctes(mode, "metd"),
              ("pickd", "SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY rank, mask, scheme) AS k FROM sco) WHERE k = 1")]
     test = rename([*ts.trial_ctes((), R, schemes, S, win=("win", "SELECT window_id, test_start AS start_d, test_end AS end_d FROM folds"), only="zz_only"), *ts.metric_ctes()], "te_")
@@ -225,7 +224,8 @@ def walk(spark, sf_dir, rolling: bool):
     ctx = fx.context(spark, sf_dir, r)
     folds_ = sl.rolling_windows(r, *fx.TEST, trailing_years=3) if rolling else folds_of(spark, r)
     schemes, mode = (EWS, "asymmetric2") if rolling else (COV3, "seasons")
-    return (*sl.select_and_hold(r, folds_, R, schemes, S, ctx, mode), schemes)
+    also = None if rolling else fx.window(spark, fx.FULL)
+    return (*sl.select_and_hold(r, folds_, R, schemes, S, ctx, mode, also), schemes)
 
 
 def hold_report(spark, sf_dir, rolling: bool) -> DataFrame:
@@ -233,7 +233,7 @@ def hold_report(spark, sf_dir, rolling: bool) -> DataFrame:
     return sl.hold_log(chosen, months).select("window_id", "scheme", "mask", "n_sleeves", "test_months", *HOLD_COLUMNS)
 
 
-WALK = hold_ctes(FOLD_CTES, "seasons", COV3)
+WALK = hold_ctes(FOLD_CTES, "seasons", COV3, fx.FULL)
 
 
 @query("walk_forward", recursive([*WALK, HOLD], HOLD_SQL), digits=6)
@@ -266,7 +266,7 @@ def avg_fold_weights(spark, sf_dir):
     r = fx.brand_returns(spark, sf_dir)
     ctx = fx.context(spark, sf_dir, r)
     folds_ = materialize(folds_of(spark, r))
-    chosen = materialize(winners(search(r, sl.train_windows(folds_), R, COV3, S, ctx, "seasons")))
+    chosen = materialize(winners(search(r, sl.train_windows(folds_), R, COV3, S, ctx, "seasons", also=fx.window(spark, fx.FULL))))
     plan = evaluate(r, sl.train_windows(folds_), chosen.select(*TRIAL), R, COV3, S, ctx)
     weights = sl.last_weights(plan, chosen, COV3)
     return weights.groupBy("sleeve").agg(F.count(F.lit(1)).alias("n_folds"), F.avg("w").alias("avg_weight"))

@@ -31,7 +31,6 @@ def recursive(ctes, select: str) -> str:
     return with_(ctes, select).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-ALL = ("av", "SELECT DISTINCT window_id, entity FROM wm, ros")
 COMBOS = [ts.roster_cte(R), ("ok", "SELECT 0 AS window_id, entity FROM ros"), *ts.combos_ctes(R, 5, 8)]
 
 
@@ -70,7 +69,7 @@ def windows_of(spark, returns_: DataFrame, *spans) -> DataFrame:
 
 
 def cov_sql(spans, trailing: int, mode: str, select: str) -> str:
-    return with_([*BRAND, ts.roster_cte(R), *ts.months_ctes(ts.windows_cte(spans)), *ts.covariance_ctes(trailing, mode)], select)
+    return with_([*BRAND, ts.roster_cte(R), *ts.months_ctes(ts.windows_cte(spans)), *ts.availability_ctes(False), *ts.covariance_ctes(trailing, mode)], select)
 
 
 ENTRIES = ("SELECT window_id, refit_no::INTEGER AS refit_no, a.entity AS i, b.entity AS j, {c} AS c FROM cv JOIN ros a ON a.i = cv.i JOIN ros b ON b.i = cv.j WHERE cv.i <= cv.j")
@@ -91,7 +90,7 @@ def cov_pairs(spark, sf_dir):
 def covariances(spark, sf_dir, mode: str, spans=SPANS):
     r = fx.brand_returns(spark, sf_dir)
     months = windows_of(spark, r, *spans)
-    return r, months, materialize(cv.refit_covariance(r, months, R, S.trailing, mode))
+    return r, months, materialize(cv.refit_covariance(r, months, R, S.trailing, mode, available=availability(r, months, R)))
 
 
 @query("cov_trailing", cov_sql(SPANS, 36, "none", ENTRIES.format(c=q("c", 10))), digits=10)
@@ -140,7 +139,8 @@ def w_ew(spark, sf_dir):
 
 def inverse(base: str, power: int):
     sql = with_([*WEIGHT_BASE, *ts.weights_ctes([base], S.cap)],
-                f"SELECT window_id, mask, refit_no::INTEGER AS refit_no, entity AS sleeve, {q('b')} AS w FROM bw JOIN ros USING (i)")
+                f"SELECT window_id, mask, refit_no::INTEGER AS refit_no, entity AS sleeve, {q('b')} AS w FROM bw JOIN ros USING (i) "
+                "SEMI JOIN xg USING (window_id, refit_no)")
 
     @query(f"w_{base}", sql)
     def run(spark, sf_dir):

@@ -41,13 +41,17 @@ def months_ctes(win: CTE | None = None) -> list[CTE]:
             ("rf", "SELECT window_id, refit_no, min(idx) AS ridx FROM wm GROUP BY 1, 2")]
 
 
-def availability_ctes(common: bool) -> list[CTE]:
+def availability_ctes(common: bool, also: tuple[str, str] | None = None) -> list[CTE]:
     per = ("SELECT window_id, entity FROM wm JOIN ret USING (period) JOIN ros USING (entity) GROUP BY 1, 2 "
            "HAVING count(ret) = (SELECT count(*) FROM wm w WHERE w.window_id = wm.window_id)")
     out = [("av", per)]
     if common:
         out.append(("ok", "SELECT w.window_id, entity FROM (SELECT DISTINCT window_id FROM wm) w, "
                           "(SELECT entity FROM av GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT window_id) FROM wm))"))
+    elif also:
+        span = f"period BETWEEN DATE '{also[0]}' AND DATE '{also[1]}'"
+        out.append(("ok", f"SELECT av.* FROM av WHERE entity IN (SELECT entity FROM ret WHERE {span} GROUP BY 1 "
+                          f"HAVING count(ret) = (SELECT count(*) FROM rcal WHERE {span}))"))
     else:
         out.append(("ok", "SELECT * FROM av"))
     return out
@@ -65,7 +69,7 @@ def covariance_ctes(trailing: int, mode: str = "lw") -> list[CTE]:
     """``sij`` (population), ``cv`` (final covariance, both orders) and ``vol``."""
     return [
         ("x0", f"SELECT rf.window_id, rf.refit_no, c.period, ros.i, ret.ret FROM rf JOIN rcal c ON c.idx BETWEEN ridx - {trailing} AND ridx - 1 "
-         "CROSS JOIN ros LEFT JOIN ret ON ret.period = c.period AND ret.entity = ros.entity"),
+         "JOIN ok ON ok.window_id = rf.window_id JOIN ros ON ros.entity = ok.entity LEFT JOIN ret ON ret.period = c.period AND ret.entity = ros.entity"),
         ("xg", "SELECT window_id, refit_no, count(DISTINCT period) AS t FROM x0 GROUP BY 1, 2 HAVING count(DISTINCT period) >= 12 AND count(*) = count(ret)"),
         ("x", "SELECT window_id, refit_no, t, period, i, ret - avg(ret) OVER (PARTITION BY window_id, refit_no, i) AS d FROM x0 JOIN xg USING (window_id, refit_no)"),
         ("sij", "SELECT a.window_id, a.refit_no, a.t, a.i AS i, b.i AS j, avg(a.d * b.d) AS s FROM x a JOIN x b USING (window_id, refit_no, period) GROUP BY 1, 2, 3, 4, 5"),
@@ -211,7 +215,7 @@ def coefficient(s: Scheme, columns: dict[str, str]) -> str:
 
 
 def trial_ctes(spans, roster: Roster, schemes: Sequence[Scheme], settings: TrialSettings, common: bool = False,
-               win: CTE | None = None, only: str | None = None) -> list[CTE]:
+               win: CTE | None = None, only: str | None = None, also: tuple[str, str] | None = None) -> list[CTE]:
     """CTEs up to ``tm``: gross, net, turnover and notional per trial-month."""
     specs = list(dict.fromkeys(x for s in schemes for x in (s.signal, s.momentum)))
     sig, columns = signals_ctes(specs)
@@ -219,7 +223,7 @@ def trial_ctes(spans, roster: Roster, schemes: Sequence[Scheme], settings: Trial
     restrict = f" SEMI JOIN {only} z ON z.window_id = c.window_id AND z.scheme = c.scheme AND z.mask = b.mask" if only else ""
     cost, lev = settings.cost, settings.lev_rate
     return [
-        roster_cte(roster), *months_ctes(win or windows_cte(spans)), *availability_ctes(common),
+        roster_cte(roster), *months_ctes(win or windows_cte(spans)), *availability_ctes(common, also),
         *combos_ctes(roster, settings.min_sleeves, settings.max_sleeves),
         *covariance_ctes(settings.trailing, settings.shrink),
         *weights_ctes(bases, settings.cap), *sig, macro_cte(roster),
@@ -289,8 +293,9 @@ def score_ctes(mode: str, source: str, out: str = "sco", group: str = "window_id
             (out, f"SELECT *, rank() OVER (PARTITION BY {group} ORDER BY CASE WHEN round(resilience_score, 8) = 0 THEN 0.0 ELSE round(resilience_score, 8) END DESC) AS rank FROM {out}_s")]
 
 
-def search_ctes(spans, schemes, mode: str, settings: TrialSettings = fx.SETTINGS, common: bool = False, win: CTE | None = None) -> list[CTE]:
-    return [*CONTEXT, *trial_ctes(spans, fx.ROSTER, schemes, settings, common, win), *metric_ctes(), *div_ctes(schemes),
+def search_ctes(spans, schemes, mode: str, settings: TrialSettings = fx.SETTINGS, common: bool = False, win: CTE | None = None,
+                also: tuple[str, str] | None = None) -> list[CTE]:
+    return [*CONTEXT, *trial_ctes(spans, fx.ROSTER, schemes, settings, common, win, also=also), *metric_ctes(), *div_ctes(schemes),
             *score_ctes(mode, "metd")]
 
 
