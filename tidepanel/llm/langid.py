@@ -7,7 +7,7 @@ share of that codeword in exp(-loss). It is ``ambiguous`` when the losses of the
 ``margin``.
 
 The fit uses at most ``sample_rows`` labelled rows, split evenly over the languages (``sampling.bounded_sample``); the bound
-makes the driver's matrix sample_rows x 8,192 floats. Prediction reads whole texts.
+makes the driver's matrix sample_rows x 8,192 floats, 2,000 rows by default. Prediction reads whole texts.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0 and is ambiguous; without any labelled row all
 texts are ``und``; with one language every text with a letter gets it with score 1. Other columns are never read.
