@@ -7,7 +7,8 @@ share of that codeword in exp(-loss). It is ``ambiguous`` when the losses of the
 ``margin``.
 
 The fit uses at most ``sample_rows`` labelled rows, split evenly over the languages (``sampling.bounded_sample``); the bound
-makes the driver's matrix sample_rows x 8,192 floats, 2,000 rows by default. Prediction reads whole texts.
+makes the matrix sample_rows x 8,192 floats, 2,000 rows by default. It is fitted in one task, so the driver gets the weights alone. Prediction
+reads whole texts.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0 and is ambiguous; without any labelled row all
 texts are ``und``; with one language every text with a letter gets it with score 1. Other columns are never read.
@@ -104,16 +105,22 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
     def packed(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: profile(t).astype("<f2").tobytes())
 
-    sample = bounded_sample(rows, "lang", sample_rows, "id", "text").select("lang", packed("text").alias("x")).toPandas()
-    languages = sorted(sample["lang"].unique())
-    code = codebook(len(languages)) if languages else np.zeros((0, 1), dtype=int)
-    if len(languages) < 2:
-        return Model(languages, code, np.zeros((BINS, code.shape[1]), dtype=np.float32), np.zeros(code.shape[1]), margin)
-    sample = sample.sort_values(["lang", "x"])  # the fit doesn't depend on the order rows arrive in
-    x = np.stack([np.frombuffer(v, dtype="<f2") for v in sample["x"]]).astype(np.float32)
-    y = code[sample["lang"].map(languages.index).to_numpy()].astype(np.float32)
-    weights, bias = fit_bits(x, y)
-    return Model(languages, code, weights, bias.astype(float), margin)
+    def solved(sample: pd.DataFrame) -> pd.DataFrame:
+        sample = sample.sort_values(["lang", "x"])  # the fit doesn't depend on the order rows arrive in
+        languages = sorted(sample["lang"].unique())
+        code = codebook(len(languages))
+        x = np.stack([np.frombuffer(v, dtype="<f2") for v in sample["x"]]).astype(np.float32)
+        y = code[sample["lang"].map(languages.index).to_numpy()].astype(np.float32)
+        weights, bias = fit_bits(x, y) if len(languages) > 1 else (np.zeros((BINS, code.shape[1])), np.zeros(code.shape[1]))
+        return pd.DataFrame({"languages": [languages], "weights": [weights.astype("<f4").tobytes()], "bias": [bias.astype("<f8").tobytes()]})
+
+    sample = bounded_sample(rows, "lang", sample_rows, "id", "text").select("lang", packed("text").alias("x"))
+    fitted = sample.groupBy().applyInPandas(solved, "languages array<string>, weights binary, bias binary").first()
+    if fitted is None or not fitted["languages"]:
+        return Model([], np.zeros((0, 1), dtype=int), np.zeros((BINS, 1), dtype=np.float32), np.zeros(1), margin)
+    code = codebook(len(fitted["languages"]))
+    weights = np.frombuffer(fitted["weights"], dtype="<f4").reshape(BINS, code.shape[1])
+    return Model(list(fitted["languages"]), code, weights, np.frombuffer(fitted["bias"], dtype="<f8"), margin)
 
 
 def identify(model: Model, text: Column) -> Column:
