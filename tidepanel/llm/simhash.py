@@ -193,7 +193,11 @@ def keep_one(docs: DataFrame, radius: int = 3, shingle: int = 3, id_col: str = "
 
     Of rows that repeat id and text the one with the least hash of all columns stays.
     """
-    found = near_duplicates(docs, radius, shingle, id_col, text_col)
+    return keep_first(docs, near_duplicates(docs, radius, shingle, id_col, text_col), id_col, text_col)
+
+
+def keep_first(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``keep_one`` by a given table of components: the id column, text_hash and root, a row per document."""
     place = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.col("text_hash").alias("hash"))
     each = materialize(found.groupBy("root", place.alias("place")).agg(F.count("*").alias("n")))
     first = each.groupBy("root").agg(F.min("place").alias("first"))
