@@ -129,5 +129,6 @@ def op9_secrets(spark, sf_dir) -> DataFrame:
 
 @query("op2_linededup")
 def op2_linededup(spark, sf_dir) -> DataFrame:
-    found = linededup.match_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
+    # every line with a word is judged
+    found = linededup.match_lines(table(spark, sf_dir, "documents", "doc_id", "text"), min_words=1)
     return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.array_sort("removed"), ",").alias("removed"), "n_links")
