@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidepanel.llm import chat, decontam, edits, langid, linededup, perplexity, quality, secrets, simhash
+from tidepanel.llm import chat, convrepair, decontam, edits, langid, linededup, perplexity, quality, secrets, simhash
 from tidepanel.llm.packing import pack_documents
 from tidepanel.llm.registry import query, table
 
@@ -132,3 +132,56 @@ def op2_linededup(spark, sf_dir) -> DataFrame:
     # every line with a word is judged
     found = linededup.match_lines(table(spark, sf_dir, "documents", "doc_id", "text"), min_words=1)
     return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.array_sort("removed"), ",").alias("removed"), "n_links")
+
+
+OP12_SQL = r"""
+WITH RECURSIVE bytes AS (
+  SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, b) ORDER BY b) AS tab FROM range(256) AS r(b)),
+crcs AS (
+  SELECT conv_id, turn, xor(list_reduce([ord(k) FOR k IN string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), '')],
+         lambda c, b: xor(c // 256, tab[xor(c % 256, b) + 1]), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT)) AS crc
+  FROM (SELECT DISTINCT conv_id, turn FROM conversations), bytes),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+         CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, h
+  FROM (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, crc % 20 AS h
+        FROM conversations JOIN crcs USING (conv_id, turn)) WHERE h <> 0),
+spread AS (SELECT conv_id, turn, role, text FROM damaged UNION ALL SELECT conv_id, turn, role, text FROM damaged WHERE h = 3),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM spread),
+judged AS (
+  SELECT *, CASE WHEN rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' THEN 'blank'
+                 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                 WHEN right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+         left(role, 1) AS c, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM numbered),
+-- states: 0 at the start, 1 after s, 2 after u, 3 after a; pre: inserts from p to q
+pre(p, q, cost, word, gone) AS (VALUES (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''), (0, 2, 2, 'I', 'user:|'), (0, 3, 4, 'II', 'user:|assistant:|'),
+  (1, 2, 2, 'I', 'user:|'), (1, 3, 4, 'II', 'user:|assistant:|'), (2, 3, 2, 'I', 'assistant:|'), (3, 2, 2, 'I', 'user:|')),
+own(q, t, letter, c, cost) AS (VALUES (0, 0, 'D', '', 3), (1, 1, 'D', '', 3), (2, 2, 'D', '', 3), (3, 3, 'D', '', 3), (0, 1, 'K', 's', 0), (0, 2, 'K', 'u', 0), (1, 2, 'K', 'u', 0),
+  (3, 2, 'K', 'u', 0), (2, 3, 'K', 'a', 0), (0, 2, 'R', '', 2), (1, 2, 'R', '', 2), (3, 2, 'R', '', 2), (2, 3, 'R', '', 2)),
+step AS (SELECT p, t, letter, c, pre.cost + own.cost AS cost, word || letter AS word, replace(gone, '|', chr(10)) AS gone FROM pre JOIN own USING (q)),
+walk AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS p, {'cost': 0, 'audit': '', 'out': ''} AS best FROM (SELECT DISTINCT conv_id FROM numbered)
+  UNION ALL
+  SELECT w.conv_id, w.i + 1, s.t, min({'cost': w.best.cost + s.cost + CASE WHEN j.fault = 'truncated' AND s.letter <> 'D' THEN 1 ELSE 0 END, 'audit': w.best.audit || s.word,
+         'out': w.best.out || s.gone || CASE s.letter WHEN 'D' THEN '' WHEN 'K' THEN j.role || ':' || j.text || chr(10)
+                ELSE CASE s.t WHEN 2 THEN 'user:' ELSE 'assistant:' END || j.text || chr(10) END})
+  FROM walk w JOIN judged j ON j.conv_id = w.conv_id AND j.i = w.i + 1
+       JOIN step s ON s.p = w.p AND (s.c = '' OR s.c = j.c) AND (s.letter = 'D' OR j.fault NOT IN ('blank', 'duplicate'))
+  GROUP BY w.conv_id, w.i, s.t),
+ends AS (
+  SELECT conv_id, min({'cost': best.cost + pre.cost, 'audit': best.audit || pre.word, 'out': best.out || replace(pre.gone, '|', chr(10))}) AS done
+  FROM walk JOIN pre USING (p) JOIN (SELECT conv_id, max(i) AS i FROM numbered GROUP BY conv_id) USING (conv_id, i)
+  WHERE q = 3 OR (q = 0 AND pre.word = '') GROUP BY conv_id),
+figures AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND before || c NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(coalesce(done.cost, 0) AS BIGINT) AS cost, coalesce(done.audit, '') AS audit, sha256(coalesce(left(done.out, greatest(length(done.out) - 1, 0)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN figures USING (conv_id) LEFT JOIN ends USING (conv_id)
+"""
+
+
+@query("op12_convrepair")
+def op12_convrepair(spark, sf_dir) -> DataFrame:
+    given = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return convrepair.summary(given, convrepair.number_rows(convrepair.damage(given)))
