@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidepanel.llm import chat, convrepair, decontam, edits, langid, linededup, perplexity, quality, secrets, simhash
+from tidepanel.llm import chat, convrepair, decontam, edits, langid, linededup, perplexity, quality, secrets, simhash, urlfilter, whitening
 from tidepanel.llm.packing import pack_documents
 from tidepanel.llm.registry import query, table
 
@@ -181,7 +181,37 @@ FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN figures USING (conv_
 """
 
 
-@query("op12_convrepair")
+@query("op12_convrepair", OP12_SQL)
 def op12_convrepair(spark, sf_dir) -> DataFrame:
     given = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     return convrepair.summary(given, convrepair.number_rows(convrepair.damage(given)))
+
+
+#: The rules of the contract.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+OP13_SQL = r"""
+WITH rules(rule_host, rule_path, rule_verdict) AS (VALUES """ + ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES) + r"""),
+split AS (
+  SELECT row_number() OVER () AS r, page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT r, page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM split),
+won AS (
+  SELECT r, max({'size': length(rule_host) + length(rule_path), 'rule': rule_host || rule_path, 'verdict': rule_verdict}) AS w
+  FROM parts JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY r)
+SELECT page_id, host, path, w.rule AS rule, coalesce(w.verdict, 'allow') AS verdict FROM parts LEFT JOIN won USING (r)
+"""
+
+
+@query("op13_urlfilter", OP13_SQL)
+def op13_urlfilter(spark, sf_dir) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urlfilter.judge(table(spark, sf_dir, "pages", "page_id", "url"), rules).select("row.page_id", "host", "path", "rule", "verdict")
+
+
+@query("op11_whitening")
+def op11_whitening(spark, sf_dir) -> DataFrame:
+    made = whitening.whiten(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), "vec_id", "embedding")
+    # exact while it fits a long; null beyond, where the operator still has it as a decimal
+    return made.select(F.col("id").alias("vec_id"), "component", "n", F.expr("try_cast(deviation as long)").alias("deviation"), "whitened", "explained", "identity_error")
