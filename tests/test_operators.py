@@ -1,6 +1,7 @@
 """Operators against plain loops on small fixtures."""
 
 import datetime
+import itertools
 import math
 
 import numpy as np
@@ -14,7 +15,7 @@ from tidepanel.operators import audit, returns as rt, selection, signals as sg,
 from tidepanel.operators.covariance import refit_covariance
 from tidepanel.operators.schemes import Scheme, all_schemes
 from tidepanel.operators.trials import TRIAL_KEYS, TrialSettings, plan_trials, trial_months
-from tidepanel.operators.universe import Roster, combination_count, combinations, window_months, windows_frame
+from tidepanel.operators.universe import Roster, combination_count, combinations, portfolio_space, window_months, windows_frame
 from tidepanel.session import materialize
 from tidepanel.sources import files
 
@@ -86,6 +87,20 @@ def test_combination_counts(spark, shape, lo, hi, count):
     assert combination_count(roster, lo, hi, (1 << len(names)) - 1) == count
 
 
+@pytest.mark.parametrize("n_eq,n_bd,n_other,lo,hi", [(20, 12, 8, 2, 4), (1, 1, 0, 2, 8), (0, 5, 5, 2, 4), (3, 3, 34, 3, 4)])
+def test_portfolios_are_read_back_from_their_number(spark, n_eq, n_bd, n_other, lo, hi):
+    """Forty series and more: every allowed subset once, against itertools; 2^40 masks are never listed."""
+    names = tuple(f"s{i}" for i in range(n_eq + n_bd + n_other))
+    roster = Roster(names, names[:n_eq], names[n_eq:n_eq + n_bd])
+    gone = {0: (1 << len(names)) - 1, 3: ((1 << len(names)) - 1) & ~0b10010, 7: 0}
+    want = [(w, sum(1 << i for i in c), len(c)) for w, a in gone.items() for k in range(lo, hi + 1)
+            for c in itertools.combinations([i for i in range(len(names)) if a >> i & 1], k)
+            if any(i < n_eq for i in c) and any(n_eq <= i < n_eq + n_bd for i in c)]
+    got = [tuple(r) for r in portfolio_space(spark, roster, lo, hi, gone).collect()]
+    assert sorted(got) == sorted(want)
+    assert len(got) == sum(combination_count(roster, lo, hi, a) for a in gone.values())
+
+
 def shrunk(x):
     t, n = x.shape
     d = x - x.mean(axis=0)

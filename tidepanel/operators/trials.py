@@ -25,8 +25,7 @@ from tidepanel.operators.covariance import refit_covariance
 from tidepanel.operators.returns import calendar
 from tidepanel.operators.schemes import Scheme
 from tidepanel.operators.solvers import solver_weights
-from tidepanel.operators.universe import (Roster, availability, combination_count, combinations,
-                                          roster_position, window_months)
+from tidepanel.operators.universe import Roster, availability, combination_count, portfolio_space, roster_position, window_months
 from tidepanel.operators.weights import equal_weight, inverse_risk, weight_columns
 from tidepanel.session import materialize
 
@@ -333,15 +332,8 @@ def plan_trials(returns: DataFrame, windows: DataFrame, roster: Roster, schemes:
         held = spark.createDataFrame(list(found.items()), "window_id int, found bigint")
         only = only.join(F.broadcast(held), "window_id").where(F.col("mask").bitwiseAND(F.bitwise_not("found")) == 0).drop("found")
         combos = only.select("window_id", "mask").distinct().withColumn("n_sleeves", F.bit_count("mask"))
-    elif not available:
-        combos = spark.createDataFrame([], "window_id int, mask bigint, n_sleeves int")
     else:
-        spans = F.array(*[F.struct(F.lit(w).alias("window_id"), F.lit(a).cast("bigint").alias("available"))
-                          for w, a in available.items()])
-        combos = (combinations(spark, roster, settings.min_sleeves, settings.max_sleeves)
-                  .withColumn("span", F.explode(spans)).select("mask", "n_sleeves", "span.*")
-                  .where(F.col("mask").bitwiseAND(F.bitwise_not("available")) == 0)
-                  .select("window_id", "mask", "n_sleeves"))
+        combos = portfolio_space(spark, roster, settings.min_sleeves, settings.max_sleeves, available)
     slot = F.pmod(F.xxhash64("mask"), F.lit(slots)).cast("int")
     combos = combos.withColumn("window_id", F.col("window_id").cast("int")).withColumn("slot", slot).repartition(partitions, "window_id", "slot")
 

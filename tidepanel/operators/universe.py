@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -40,21 +41,66 @@ def roster_position(roster: Roster) -> Column:
     return F.element_at(F.create_map(*pairs), F.col("entity"))
 
 
-def combination_filter(roster: Roster, lo: int, hi: int, available: int) -> Column:
-    """At least one equity and one bond series, ``lo..hi`` series in all, all of them available."""
-    mask = F.col("mask")
-    return ((mask.bitwiseAND(F.lit(~available & ((1 << roster.n) - 1))) == 0)
-            & (mask.bitwiseAND(F.lit(roster.mask(roster.equity))) != 0)
-            & (mask.bitwiseAND(F.lit(roster.mask(roster.bonds))) != 0)
-            & F.bit_count(mask).between(lo, hi))
+CHUNK = 4096  # portfolios that one row of the plan stands for
+
+
+def _members(roster: Roster, names: Sequence[str], available: int) -> list[int]:
+    """Bits of the available series among ``names``."""
+    return [1 << i for i, x in enumerate(roster.names) if x in names and available >> i & 1]
+
+
+def combination_classes(roster: Roster, lo: int, hi: int, available: dict[int, int]) -> list[tuple]:
+    """(window_id, equity bits, bond bits, other bits, i, j, k, counts of the bond and other parts, count): the ways to take i, j and k of each role.
+
+    At most windows x hi^3 rows, however many portfolios they stand for.
+    """
+    rows = []
+    for window, mask in available.items():
+        e, b, o = (_members(roster, x, mask) for x in (roster.equity, roster.bonds, roster.others()))
+        for i in range(1, len(e) + 1):
+            for j in range(1, len(b) + 1):
+                for k in range(max(lo - i - j, 0), min(hi - i - j, len(o)) + 1):
+                    of_b, of_o = math.comb(len(b), j), math.comb(len(o), k)
+                    rows.append((int(window), e, b, o, i, j, k, of_b, of_o, math.comb(len(e), i) * of_b * of_o))
+    return rows
+
+
+def _unranked(bits: str, size: str, rank: str, choose: str, width: int) -> str:
+    """Mask of the ``rank``-th subset of ``size`` of ``bits``: from the last member down, one is taken if the subsets without it are too few."""
+    before = f"element_at({choose}, cast(n * {width} + s.c + 1 as int))"
+    step = (f"if(s.c > 0 and s.r >= {before}, named_struct('r', s.r - {before}, 'c', s.c - 1, 'm', s.m | element_at({bits}, n + 1)), s)")
+    return f"if({size} = 0, 0L, aggregate(sequence(size({bits}) - 1, 0, -1), named_struct('r', {rank}, 'c', {size}, 'm', 0L), (s, n) -> {step}, s -> s.m))"
+
+
+def portfolio_space(spark: SparkSession, roster: Roster, lo: int, hi: int, available: dict[int, int]) -> DataFrame:
+    """Allowed portfolios ``(window_id, mask, n_sleeves)``: at least one equity and one bond series, ``lo..hi`` in all, available in the window.
+
+    Portfolios are numbered within their class and read back from the number (combinatorial number system), so the work
+    is their count, not the number of subsets of the roster, and no duplicates arise.
+    """
+    rows = combination_classes(roster, lo, hi, available)
+    if sum(r[-1] for r in rows) >= 1 << 62:
+        raise ValueError("too many portfolios to number")
+    kind = "window_id int, e array<bigint>, b array<bigint>, o array<bigint>, i int, j int, k int, of_b bigint, of_o bigint, n bigint"
+    if not rows:
+        return spark.createDataFrame([], "window_id int, mask bigint, n_sleeves int")
+    width = hi + 1
+    choose = "array(" + ", ".join(f"{math.comb(n, c)}L" for n in range(max(map(len, (roster.equity, roster.bonds, roster.others()))) + 1) for c in range(width)) + ")"
+    # chunks of a class follow one another; a range deals them out, so nothing is shuffled
+    starts = [0, *itertools.accumulate(-(-r[-1] // CHUNK) for r in rows)]
+    classes = spark.createDataFrame([(at, at_chunk, *r) for at, (at_chunk, r) in enumerate(zip(starts, rows))], f"class int, first_chunk bigint, {kind}")
+    of_class = f"size(filter(array({', '.join(f'{x}L' for x in starts[:-1])}), x -> x <= id)) - 1"
+    chunks = spark.range(starts[-1]).selectExpr("id", f"{of_class} AS class").join(F.broadcast(classes), "class").withColumn("chunk", F.col("id") - F.col("first_chunk"))
+    ranks = chunks.withColumn("rank", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least((F.col("chunk") + 1) * CHUNK, F.col("n")) - 1)))
+    parts = [_unranked("e", "i", "rank div (of_b * of_o)", choose, width), _unranked("b", "j", "(rank div of_o) % of_b", choose, width),
+             _unranked("o", "k", "rank % of_o", choose, width)]
+    return ranks.selectExpr("window_id", " | ".join(parts) + " AS mask", "i + j + k AS n_sleeves")
 
 
 def combinations(spark: SparkSession, roster: Roster, lo: int, hi: int, available: int | None = None) -> DataFrame:
-    """Allowed portfolios ``(mask, n_sleeves)``; the mask is canonical, so no duplicates arise."""
+    """The portfolios ``(mask, n_sleeves)`` of one window."""
     available = (1 << roster.n) - 1 if available is None else available
-    return (spark.range(1, 1 << roster.n).withColumnRenamed("id", "mask")
-            .where(combination_filter(roster, lo, hi, available))
-            .withColumn("n_sleeves", F.bit_count("mask")))
+    return portfolio_space(spark, roster, lo, hi, {0: available}).drop("window_id")
 
 
 def combination_count(roster: Roster, lo: int, hi: int, available: int) -> int:

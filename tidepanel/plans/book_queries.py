@@ -13,8 +13,9 @@ from tidepanel.operators import stats as st
 from tidepanel.operators import weights as wt
 from tidepanel.operators.covariance import long_entries, pair, wide_returns
 from tidepanel.operators.solvers import solver_weights
-from tidepanel.operators.universe import Roster
+from tidepanel.operators.universe import Roster, availability, combination_count, window_months
 from tidepanel.plans import fixtures as fx
+from tidepanel.plans import trial_sql as ts
 from tidepanel.plans.oracle import q, with_
 from tidepanel.plans.registry import query
 from tidepanel.plans.regime_queries import CONTEXT, inside
@@ -213,27 +214,43 @@ def stress_drilldown(spark, sf_dir):
 NORMAL = "0.5 * (1.0 + sign(z) * (1.0 - (" + " + ".join(f"{a} * pow(t, {k + 1})" for k, a in enumerate(ERF_A)) + ") * exp(-z * z / 2.0)))"
 
 
-@query("deflated_sharpe", with_(
-    [*FULL_RET, *book_ctes(BOOKS), *FIXED, ("m", "SELECT portfolio, count(net) AS n, skewness(net) AS sk, kurtosis(net) AS ku, "
-     "avg(net) / stddev_samp(net) AS sr, sqrt(2 * ln(16902.0)) AS z FROM fx GROUP BY 1"),
-     ("s", "SELECT *, (z - 0.5772156649015329 / z) / sqrt(n) AS sr0 FROM m")],
-    f"SELECT portfolio, n, 16902.0::DOUBLE AS n_trials, {q('sr * sqrt(12.0)')} AS sr_ann, {q('sr0 * sqrt(12.0)')} AS sr0_ann, {q('(sr - sr0) * sqrt(12.0)')} AS deflated_sr_ann, "
-    f"{q('(sr - sr0) * sqrt(n - 1) / sqrt(greatest(1 - sk * sr + (ku - 1) / 4 * sr * sr, 1e-12))')} AS z FROM s"))
+IN_TRAIN = f"period BETWEEN DATE '{fx.TRAIN[0]}' AND DATE '{fx.TRAIN[1]}'"
+#: Trials of the training search: its portfolios, of the series that are complete in the window, under every scheme.
+COUNTED = [ts.roster_cte(fx.ROSTER),
+           ("tw", f"SELECT i FROM ret_nn JOIN ros USING (entity) WHERE {IN_TRAIN} GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT period) FROM ret_nn WHERE {IN_TRAIN})"),
+           ("nt", f"SELECT count(*) * {len(fx.SCHEMES)} AS n_trials FROM range(1, {1 << fx.ROSTER.n}), (SELECT CAST(sum(1 << i) AS BIGINT) AS a FROM tw) WHERE (range & a) = range "
+            f"AND (range & {fx.ROSTER.mask(fx.EQUITY)}) <> 0 AND (range & {fx.ROSTER.mask(fx.BONDS)}) <> 0 AND bit_count(range) BETWEEN {fx.SETTINGS.min_sleeves} AND {fx.SETTINGS.max_sleeves}")]
+DEFLATED = [*FULL_RET, *book_ctes(BOOKS), *FIXED, *COUNTED,
+            ("m", "SELECT portfolio, count(net) AS n, skewness(net) AS sk, kurtosis(net) AS ku, avg(net) / stddev_samp(net) AS sr, any_value(n_trials) AS nt, "
+             "sqrt(2 * ln(any_value(n_trials))) AS z FROM fx, nt GROUP BY 1"),
+            ("s", "SELECT *, (z - 0.5772156649015329 / z) / sqrt(n) AS sr0 FROM m")]
+
+
+def counted_trials(spark, sf_dir) -> tuple[DataFrame, int]:
+    """The brand returns, and the trials of the training search: portfolios of its complete series times schemes."""
+    r = fx.brand_returns(spark, sf_dir)
+    found = availability(r, materialize(window_months(r, fx.window(spark, fx.TRAIN))), fx.ROSTER)
+    return r, len(fx.SCHEMES) * sum(combination_count(fx.ROSTER, fx.SETTINGS.min_sleeves, fx.SETTINGS.max_sleeves, a) for a in found.values())
+
+
+def deflated(spark, sf_dir) -> DataFrame:
+    r, n_trials = counted_trials(spark, sf_dir)
+    series = bk.gross_months(book(spark, sf_dir, returns_=rt.complete_panel(r, *fx.FULL)))
+    return st.deflated_sharpe(series, ["portfolio"], F.lit(n_trials))
+
+
+@query("deflated_sharpe", with_(DEFLATED, f"SELECT portfolio, n, nt::DOUBLE AS n_trials, {q('sr * sqrt(12.0)')} AS sr_ann, {q('sr0 * sqrt(12.0)')} AS sr0_ann, "
+                                f"{q('(sr - sr0) * sqrt(12.0)')} AS deflated_sr_ann, {q('(sr - sr0) * sqrt(n - 1) / sqrt(greatest(1 - sk * sr + (ku - 1) / 4 * sr * sr, 1e-12))')} AS z FROM s"))
 def deflated_sharpe(spark, sf_dir):
-    series = bk.gross_months(book(spark, sf_dir))
-    return st.deflated_sharpe(series, ["portfolio"], F.lit(16902)).drop("dsr_prob")
+    return deflated(spark, sf_dir).drop("dsr_prob")
 
 
 @query("dsr_probability", with_(
-    [*FULL_RET, *book_ctes(BOOKS), *FIXED, ("m", "SELECT portfolio, count(net) AS n, skewness(net) AS sk, kurtosis(net) AS ku, "
-     "avg(net) / stddev_samp(net) AS sr, sqrt(2 * ln(16902.0)) AS z FROM fx GROUP BY 1"),
-     ("s", "SELECT *, (z - 0.5772156649015329 / z) / sqrt(n) AS sr0 FROM m"),
-     ("v", "SELECT portfolio, n, (sr - sr0) * sqrt(n - 1) / sqrt(greatest(1 - sk * sr + (ku - 1) / 4 * sr * sr, 1e-12)) AS z FROM s"),
+    [*DEFLATED, ("v", "SELECT portfolio, n, (sr - sr0) * sqrt(n - 1) / sqrt(greatest(1 - sk * sr + (ku - 1) / 4 * sr * sr, 1e-12)) AS z FROM s"),
      ("e", f"SELECT *, 1.0 / (1.0 + {ERF_P} * abs(z) / sqrt(2.0)) AS t FROM v")],
     f"SELECT portfolio, n, {q('z')} AS z, {q(NORMAL)} AS dsr_prob FROM e"))
 def dsr_probability(spark, sf_dir):
-    series = bk.gross_months(book(spark, sf_dir))
-    return st.deflated_sharpe(series, ["portfolio"], F.lit(16902)).select("portfolio", "n", "z", "dsr_prob")
+    return deflated(spark, sf_dir).select("portfolio", "n", "z", "dsr_prob")
 
 
 @query("bootstrap_ci")

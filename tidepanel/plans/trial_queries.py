@@ -13,7 +13,7 @@ from tidepanel.operators import weights as wt
 from tidepanel.operators.search import diversification, plan_metrics, search
 from tidepanel.operators.solvers import solver_weights
 from tidepanel.operators.trials import TRIAL_KEYS, plan_trials, trial_months
-from tidepanel.operators.universe import availability, combinations, combo_text, window_months
+from tidepanel.operators.universe import Roster, availability, combo_text, portfolio_space, window_months
 from tidepanel.plans import fixtures as fx
 from tidepanel.plans import trial_sql as ts
 from tidepanel.plans.oracle import levels, q, returns, with_
@@ -31,37 +31,51 @@ def recursive(ctes, select: str) -> str:
     return with_(ctes, select).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-COMBOS = [ts.roster_cte(R), ("ok", "SELECT 0 AS window_id, entity FROM ros"), *ts.combos_ctes(R, 5, 8)]
+#: Portfolios of the train and the test window, from the series that are complete in each.
+COMBOS = [*BRAND, ts.roster_cte(R), *ts.months_ctes(ts.windows_cte(SPANS)), *ts.availability_ctes(False), *ts.combos_ctes(R, 5, 8)]
 
 
 def _ordered_names() -> str:
     return ", ".join(f"CASE WHEN (mask >> {i}) & 1 = 1 THEN '{x}' END" for i, x in enumerate(R.names))
 
 
-def _available(returns_: DataFrame) -> int:
-    """Series of the roster that exist in the panel at all."""
-    present = returns_.where(F.col("entity").isin(list(R.names))).select("entity").distinct().collect()
-    return R.mask([x.entity for x in present])
+def space(spark, sf_dir, roster=R, lo: int = 5, hi: int = 8, spans=SPANS) -> DataFrame:
+    r = fx.brand_returns(spark, sf_dir)
+    return portfolio_space(spark, roster, lo, hi, availability(r, windows_of(spark, r, *spans), roster))
 
 
-@query("combos", with_(COMBOS, "SELECT mask, n_sleeves::INTEGER AS n_sleeves FROM combos"))
+@query("combos", with_(COMBOS, "SELECT window_id, mask, n_sleeves::INTEGER AS n_sleeves FROM combos"))
 def combos(spark, sf_dir):
-    return combinations(spark, R, 5, 8, _available(fx.brand_returns(spark, sf_dir)))
+    return space(spark, sf_dir)
+
+
+#: All 25 brands: subsets of 2 to 5 grow series by series in the SQL, never a filter over 2^25 masks.
+WIDE = Roster(tuple(f"Brand#{i}" for i in range(1, 26)), tuple(f"Brand#{i}" for i in range(1, 7)), tuple(f"Brand#{i}" for i in range(7, 12)))
+WIDE_SQL = [*BRAND, ts.roster_cte(WIDE), *ts.months_ctes(ts.windows_cte(SPANS)), *ts.availability_ctes(False),
+            ("grow", "SELECT window_id, i AS last, 1 << i AS mask, 1 AS n, is_eq AS eq, is_bd AS bd FROM ok JOIN ros USING (entity) UNION ALL "
+             "SELECT g.window_id, r.i, g.mask | (1 << r.i), n + 1, eq OR is_eq, bd OR is_bd FROM grow g JOIN ok USING (window_id) JOIN ros r ON r.entity = ok.entity AND r.i > g.last WHERE n < 5")]
+
+
+@query("combos_wide", recursive(WIDE_SQL, "SELECT window_id, n::INTEGER AS n_sleeves, (mask % 97)::BIGINT AS part, count(*) AS n_portfolios, sum(mask)::BIGINT AS mask_sum FROM grow WHERE n >= 2 AND eq AND bd GROUP BY 1, 2, 3"))
+def combos_wide(spark, sf_dir):
+    """Portfolios of two to five of all 25 brands, counted by size and by their mask modulo 97."""
+    return space(spark, sf_dir, WIDE, 2, 5).groupBy("window_id", "n_sleeves", (F.col("mask") % 97).alias("part")).agg(
+        F.count(F.lit(1)).alias("n_portfolios"), F.sum("mask").alias("mask_sum"))
 
 
-@query("combo_str", with_(COMBOS, f"SELECT mask, concat_ws(',', {_ordered_names()}) AS combo, n_sleeves::INTEGER AS n_parts FROM combos"))
+@query("combo_str", with_(COMBOS, f"SELECT window_id, mask, concat_ws(',', {_ordered_names()}) AS combo, n_sleeves::INTEGER AS n_parts FROM combos"))
 def combo_str(spark, sf_dir):
-    df = combos(spark, sf_dir).select("mask", combo_text(R, F.col("mask")).alias("combo"))
+    df = combos(spark, sf_dir).select("window_id", "mask", combo_text(R, F.col("mask")).alias("combo"))
     return df.withColumn("n_parts", F.size(F.split("combo", ",")))
 
 
 SCHEME_ROWS = ", ".join(f"('{s.name}')" for s in fx.SCHEMES)
 
 
-@query("trial_space", with_([*COMBOS, ("sch", f"SELECT * FROM (VALUES {SCHEME_ROWS}) v(scheme)")], "SELECT mask, scheme FROM combos, sch"))
+@query("trial_space", with_([*COMBOS, ("sch", f"SELECT * FROM (VALUES {SCHEME_ROWS}) v(scheme)")], "SELECT window_id, mask, scheme FROM combos, sch"))
 def trial_space(spark, sf_dir):
     names = F.array(*[F.lit(s.name) for s in fx.SCHEMES])
-    return combos(spark, sf_dir).select("mask", F.explode(names).alias("scheme"))
+    return combos(spark, sf_dir).select("window_id", "mask", F.explode(names).alias("scheme"))
 
 
 def windows_of(spark, returns_: DataFrame, *spans) -> DataFrame:
@@ -113,12 +127,7 @@ def refit_cov(spark, sf_dir):
 
 def trial_combos(spark, returns_, months, partitions: int = 8) -> DataFrame:
     """Portfolios of every window, laid out by (window, mask)."""
-    slots = F.array(*[F.struct(F.lit(w).alias("window_id"), F.lit(a).cast("bigint").alias("available"))
-                      for w, a in availability(returns_, months, R).items()])
-    return (combinations(spark, R, S.min_sleeves, S.max_sleeves).withColumn("slot", F.explode(slots))
-            .where(F.col("mask").bitwiseAND(F.bitwise_not("slot.available")) == 0)
-            .select(F.col("slot.window_id").cast("int").alias("window_id"), "mask", "n_sleeves")
-            .repartition(partitions, "window_id", "mask"))
+    return portfolio_space(spark, R, S.min_sleeves, S.max_sleeves, availability(returns_, months, R)).repartition(partitions, "window_id", "mask")
 
 
 def long_weights(weights: DataFrame, keys: list[str]) -> DataFrame:
@@ -132,9 +141,9 @@ WEIGHT_BASE = [*BRAND, ts.roster_cte(R), *ts.months_ctes(ts.windows_cte(SPANS)),
                *ts.combos_ctes(R, S.min_sleeves, S.max_sleeves), *ts.covariance_ctes(S.trailing)]
 
 
-@query("w_ew", with_(COMBOS, f"SELECT mask, entity AS sleeve, {q('1.0 / n_sleeves')} AS w FROM mem"))
+@query("w_ew", with_(COMBOS, f"SELECT window_id, mask, entity AS sleeve, {q('1.0 / n_sleeves')} AS w FROM mem"))
 def w_ew(spark, sf_dir):
-    return long_weights(wt.equal_weight(combos(spark, sf_dir), R), ["mask"])
+    return long_weights(wt.equal_weight(combos(spark, sf_dir), R), ["window_id", "mask"])
 
 
 def inverse(base: str, power: int):
