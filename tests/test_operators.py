@@ -212,6 +212,22 @@ def test_effective_trials_equals_numpy(spark):
     assert got.n_trials == 50
 
 
+def test_effective_trials_of_several_windows(spark, monkeypatch):
+    """Windows of other lengths, equal trials, flat trials; once with a sum per month, once with a row per month."""
+    rng = np.random.default_rng(4)
+    grids = {0: rng.normal(size=(30, 5)), 1: np.repeat(rng.normal(size=(1, 9)), 7, axis=0), 2: np.zeros((4, 6)), 3: np.vstack([np.eye(8), -np.eye(8)])}
+    rows = [(w, "s", k, month(t), float(g[k, t])) for w, g in grids.items() for k in range(len(g)) for t in range(g.shape[1])]
+    df = spark.createDataFrame(rows, "window_id int, scheme string, mask int, period date, net double")
+    for limit in (90, 0):
+        monkeypatch.setattr(stats, "IN_CODE", limit)
+        got = {r.window_id: r for r in stats.effective_trials(df, TRIAL_KEYS).collect()}
+        for w, g in grids.items():
+            d = g - g.mean(axis=1, keepdims=True)
+            ev = np.linalg.eigvalsh(d.T @ d)
+            assert got[w].n_trials == len(g)
+            assert got[w].effective_n is None if w == 2 else math.isclose(got[w].effective_n, ev.clip(0).sum() / ev.max(), rel_tol=1e-9)
+
+
 def test_normal_distribution(spark):
     df = spark.createDataFrame([(x / 10,) for x in range(-40, 41)], "x double").select("x", norm_cdf(F.col("x")).alias("p")).collect()
     assert max(abs(r.p - 0.5 * (1 + math.erf(r.x / math.sqrt(2)))) for r in df) < 1.5e-7

@@ -16,7 +16,7 @@ from tidepanel.operators.solvers import solver_weights
 from tidepanel.operators.universe import Roster, availability, combination_count, window_months
 from tidepanel.plans import fixtures as fx
 from tidepanel.plans import trial_sql as ts
-from tidepanel.plans.oracle import q, with_
+from tidepanel.plans.oracle import q, recursive, with_
 from tidepanel.plans.registry import query
 from tidepanel.plans.regime_queries import CONTEXT, inside
 from tidepanel.plans.signal_queries import BRAND
@@ -253,7 +253,32 @@ def dsr_probability(spark, sf_dir):
     return deflated(spark, sf_dir).select("portfolio", "n", "z", "dsr_prob")
 
 
-@query("bootstrap_ci")
+def drawn(x: str) -> str:
+    """The fifth power of a column modulo the prime."""
+    sq = f"({x} * {x} % {st.PRIME})"
+    return f"({sq} * {sq} % {st.PRIME}) * {x} % {st.PRIME}"
+
+
+N_BOOT = 1000
+#: The same draws block by block: samples walk through their blocks, and the rows of each block are added up one by one.
+BOOT = [*FULL_RET, *book_ctes(BOOKS), *FIXED,
+        ("se", "SELECT portfolio, net AS v, row_number() OVER (PARTITION BY portfolio ORDER BY period) - 1 AS pos FROM fx"),
+        ("sn", "SELECT portfolio, count(*) AS n, CAST('0x' || substr(md5(portfolio), 1, 7) AS BIGINT) AS k FROM se GROUP BY 1"),
+        ("h0", f"SELECT portfolio, n, sample, {drawn('y')} AS h FROM (SELECT portfolio, n, sample, ({drawn('x')} * 48271 + sample + 1) % {st.PRIME} AS y "
+               f"FROM (SELECT *, (k % {st.PRIME} * 48271 + 1) % {st.PRIME} AS x, range AS sample FROM sn, range(0, {N_BOOT})))"),
+        ("bl", "SELECT portfolio, n, sample, h, 0::BIGINT AS filled, 0::BIGINT AS from_pos, 0::BIGINT AS len FROM h0 UNION ALL "
+               f"SELECT portfolio, n, sample, h2, filled + least(g, n - a, n - filled), a, least(g, n - a, n - filled) FROM ("
+               f"SELECT *, CAST(floor(h1 / {float(st.PRIME)} * n) AS BIGINT) AS a, CAST(floor(ln(1 - h2 / {float(st.PRIME)}) / ln(1 - 1 / 6.0::DOUBLE)) AS BIGINT) + 1 AS g FROM ("
+               f"SELECT *, {drawn('y2')} AS h2 FROM (SELECT *, (h1 * 48271 + 12) % {st.PRIME} AS y2 FROM (SELECT *, {drawn('y1')} AS h1 FROM ("
+               f"SELECT *, (h * 48271 + 11) % {st.PRIME} AS y1 FROM bl WHERE filled < n)))))"),
+        ("sm", "SELECT portfolio, sample, any_value(n) AS n, avg(v) AS m, stddev_samp(v) AS sd FROM (SELECT portfolio, sample, n, unnest(range(from_pos, from_pos + len)) AS pos FROM bl WHERE len > 0) "
+               "JOIN se USING (portfolio, pos) GROUP BY 1, 2"),
+        ("ci", "SELECT portfolio, quantile_cont(coalesce(m / nullif(sd, 0) * sqrt(12.0), 0.0), [0.025, 0.975]) AS s, quantile_cont(m * 12, [0.025, 0.975]) AS r FROM sm GROUP BY 1"),
+        ("pt", "SELECT portfolio, count(*) AS n, coalesce(avg(v) / nullif(stddev_samp(v), 0) * sqrt(12.0), 0.0) AS sharpe, avg(v) * 12 AS ann_ret FROM se GROUP BY 1")]
+
+
+@query("bootstrap_ci", recursive(BOOT, f"SELECT portfolio, n, {q('sharpe')} AS sharpe, {q('ann_ret')} AS ann_ret, {q('s[1]')} AS sharpe_lo, {q('s[2]')} AS sharpe_hi, "
+                                       f"{q('r[1]')} AS ann_ret_lo, {q('r[2]')} AS ann_ret_hi FROM pt JOIN ci USING (portfolio)"))
 def bootstrap_ci(spark, sf_dir):
     series = materialize(bk.gross_months(book(spark, sf_dir)))
-    return st.block_bootstrap(series, ["portfolio"], {"sharpe": st.sharpe_stat(), "ann_ret": st.return_stat()}, n_boot=1000)
+    return st.block_bootstrap(series, ["portfolio"], {"sharpe": st.sharpe_stat(), "ann_ret": st.return_stat()}, n_boot=N_BOOT)

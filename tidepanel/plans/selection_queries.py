@@ -17,11 +17,11 @@ from tidepanel.operators.trials import TRIAL_KEYS, plan_trials, trial_months
 from tidepanel.operators.universe import Roster
 from tidepanel.plans import fixtures as fx
 from tidepanel.plans import trial_sql as ts
-from tidepanel.plans.oracle import q, with_
+from tidepanel.plans.oracle import q, recursive, with_
 from tidepanel.plans.registry import query
 from tidepanel.plans.regime_queries import CONTEXT
 from tidepanel.plans.signal_queries import BRAND
-from tidepanel.plans.trial_queries import recursive
+from tidepanel.plans.trial_queries import SEARCH_SCHEMES
 from tidepanel.session import materialize
 from tidepanel.sources import panels
 
@@ -305,10 +305,31 @@ def bt_erc_v1(spark, sf_dir):
     return df.select("mask", "n_sleeves", "rank", *TOP_COLUMNS)
 
 
-@query("effective_n")
+#: The months x months matrix of all trials and 400 power steps on it: the long way round to the same two numbers.
+SPECTRUM = [*BRAND, *ts.trial_ctes((fx.TRAIN,), R, SEARCH_SCHEMES, S),
+            ("dm", "SELECT window_id, scheme, mask, period, net - avg(net) OVER (PARTITION BY window_id, scheme, mask) AS d, "
+             "dense_rank() OVER (PARTITION BY window_id ORDER BY period) AS t FROM tm"),
+            ("gm", "SELECT a.window_id, a.t AS i, b.t AS j, sum(a.d * b.d) AS g FROM dm a JOIN dm b USING (window_id, scheme, mask) GROUP BY 1, 2, 3"),
+            ("gl", "SELECT window_id, list(r ORDER BY i) AS g, list(start ORDER BY i) AS v0, sum(dg) AS trace FROM (SELECT window_id, i, list(g ORDER BY j) AS r, cos(1.0 + i) AS start, "
+             "sum(g) FILTER (i = j) AS dg FROM gm GROUP BY 1, 2) GROUP BY 1"),
+            ("pw", "SELECT window_id, 0 AS step, g, trace, v0 AS v FROM gl UNION ALL SELECT window_id, step + 1, g, trace, list_transform(u, lambda x: x / sqrt(list_dot_product(u, u))) "
+             "FROM (SELECT *, list_transform(g, lambda r: list_dot_product(r, v)) AS u FROM pw WHERE step < 400)")]
+
+
+@query("effective_n", recursive(SPECTRUM, f"SELECT window_id, {q('trace / list_dot_product(v, list_transform(g, lambda r: list_dot_product(r, v)))')} AS effective_n, "
+                                          "(SELECT count(DISTINCT (scheme, mask)) FROM tm) AS n_trials FROM pw WHERE step = 400"))
 def effective_n(spark, sf_dir):
-    r = fx.brand_returns(spark, sf_dir)
-    plan = plan_trials(r, fx.window(spark, fx.TRAIN), R, EWS, S)
+    """Over the 41 schemes that SQL can follow; ``effective_n_full`` takes all 50."""
+    return effective(spark, sf_dir, SEARCH_SCHEMES)
+
+
+@query("effective_n_full")
+def effective_n_full(spark, sf_dir):
+    return effective(spark, sf_dir, fx.SCHEMES)
+
+
+def effective(spark, sf_dir, schemes) -> DataFrame:
+    plan = plan_trials(fx.brand_returns(spark, sf_dir), fx.window(spark, fx.TRAIN), R, schemes, S)
     return st.effective_trials(trial_months(plan), TRIAL_KEYS)
 
 

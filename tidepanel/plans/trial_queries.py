@@ -16,7 +16,7 @@ from tidepanel.operators.trials import TRIAL_KEYS, plan_trials, trial_months
 from tidepanel.operators.universe import Roster, availability, combo_text, portfolio_space, window_months
 from tidepanel.plans import fixtures as fx
 from tidepanel.plans import trial_sql as ts
-from tidepanel.plans.oracle import levels, q, returns, with_
+from tidepanel.plans.oracle import levels, q, recursive, returns, with_
 from tidepanel.plans.registry import query
 from tidepanel.plans.regime_queries import CONTEXT
 from tidepanel.plans.signal_queries import BRAND
@@ -27,10 +27,6 @@ R, S = fx.ROSTER, fx.SETTINGS
 SPANS = (fx.TRAIN, fx.TEST)
 
 
-def recursive(ctes, select: str) -> str:
-    return with_(ctes, select).replace("WITH ", "WITH RECURSIVE ", 1)
-
-
 #: Portfolios of the train and the test window, from the series that are complete in each.
 COMBOS = [*BRAND, ts.roster_cte(R), *ts.months_ctes(ts.windows_cte(SPANS)), *ts.availability_ctes(False), *ts.combos_ctes(R, 5, 8)]
 
