@@ -1,15 +1,20 @@
 """Trailing and shrunk covariances, one row per (window, refit) over the whole roster.
 
-A period is one wide row (roster series as columns), so every pair of series is one
-aggregate over those rows and no pair is ever emitted as a row or joined.
+A period is one wide row (roster series as columns), so no pair of series is ever emitted as a row or joined. Sums of
+products run over blocks of the calendar; a refit reads two of their rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidepanel.operators.returns import calendar
 from tidepanel.operators.universe import Roster, roster_position
+from tidepanel.session import materialize
 
 MIN_ROWS = 12
 
@@ -20,49 +25,96 @@ def wide_returns(returns: DataFrame, roster: Roster) -> DataFrame:
     return returns.withColumn("i", roster_position(roster)).groupBy("period").agg(*cells)
 
 
-def refit_rows(returns: DataFrame, months: DataFrame, roster: Roster, trailing: int,
-               inside_window: bool = False, cal: DataFrame | None = None, available: dict[int, int] | None = None) -> DataFrame:
-    """The ``trailing`` calendar rows strictly before each refit, wide, where every available series is complete.
+def pair(i: int, j: int) -> str:
+    return f"s_{min(i, j)}_{max(i, j)}"
+
+
+def _products(x: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """What is summed per calendar row: 1, presence, x, x x', (x^2)(x^2)', (x^2) x'."""
+    rows, n = x.shape
+    outer = lambda p, r: (p[:, :, None] * r[:, None, :]).reshape(rows, n * n)
+    return np.hstack([np.ones((rows, 1)), there, x, outer(x, x), outer(x * x, x * x), outer(x * x, x)])
+
 
-    ``available`` is the bitmask of the series that count, per window (all, if not given); the column ``avail`` carries
-    it on. ``inside_window`` forbids history from before the window (the first refits then have none).
+def running_sums(returns: DataFrame, roster: Roster, cal: DataFrame, block: int) -> DataFrame:
+    """``(cal_idx, before, upto, onward)``: sums of the products over the rows of the same block before a row, up to it, and from it on.
+
+    The calendar is cut into blocks of ``block`` rows, one group each. A span of at most ``block`` rows lies in one block or in two neighbours, so its
+    sums are the end of one block plus the start of the next, or a difference inside one block: no long running sum is ever
+    subtracted from another. Returns are taken from their overall mean first.
     """
-    cal = (calendar(returns) if cal is None else cal).select("period", "cal_idx")
-    wide = wide_returns(returns, roster).join(F.broadcast(cal), "period")
-    first = F.min("cal_idx").over(Window.partitionBy("window_id")) if inside_window else F.lit(1)
-    refits = months.withColumn("earliest", first).where("is_refit").select(
-        "window_id", "refit_no", "earliest", F.col("cal_idx").alias("refit_idx"))
-    rows = (refits.where(F.col("refit_idx") > F.col("earliest"))
-            .withColumn("cal_idx", F.explode(F.sequence(
-                F.greatest(F.col("refit_idx") - trailing, F.col("earliest")), F.col("refit_idx") - 1)))
-            .join(F.broadcast(wide), "cal_idx"))
-    whole = Window.partitionBy("window_id", "refit_no")
-    everything = F.lit((1 << roster.n) - 1).cast("bigint")
-    if available is None:
-        rows = rows.withColumn("avail", everything)
-    else:
-        spans = rows.sparkSession.createDataFrame([(w, a) for w, a in available.items() if a], "window_id int, avail bigint")
-        rows = rows.join(F.broadcast(spans), "window_id")  # a row per window
-    complete = F.expr(" AND ".join(f"(r_{i} IS NOT NULL OR shiftright(avail, {i}) & 1 = 0)" for i in range(roster.n)))
-    return (rows.withColumn("n_rows", F.count(F.lit(1)).over(whole))
-            .withColumn("n_complete", F.count(F.when(complete, 1)).over(whole))
-            .where((F.col("n_rows") >= MIN_ROWS) & (F.col("n_rows") == F.col("n_complete"))))
+    n, names = roster.n, [f"r_{i}" for i in range(roster.n)]
+    wide = wide_returns(returns, roster).join(F.broadcast(cal.select("period", "cal_idx")), "period")
+    centre = wide.agg(*[F.avg(c).alias(c) for c in names]).first()
+    shift = np.array([centre[c] or 0.0 for c in names])
 
+    def sums(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("cal_idx")
+        r = rows[names].to_numpy(dtype=float)
+        there = ~np.isnan(r)
+        f = _products(np.where(there, r - shift, 0.0), there)
+        upto = f.cumsum(axis=0)
+        onward = f[::-1].cumsum(axis=0)[::-1]
+        return pd.DataFrame({"cal_idx": rows["cal_idx"].to_numpy(), "before": list(np.vstack([np.zeros((1, f.shape[1])), upto[:-1]])),
+                             "upto": list(upto), "onward": list(onward)})
+
+    blocks = wide.withColumn("block", F.expr(f"(cal_idx - 1) div {block}"))
+    return blocks.groupBy("block").applyInPandas(sums, "cal_idx bigint, before array<double>, upto array<double>, onward array<double>")
+
+
+def refit_spans(months: DataFrame, trailing: int, inside_window: bool = False) -> DataFrame:
+    """First and last calendar row that each refit sees: the ``trailing`` rows strictly before it.
+
+    ``inside_window`` forbids history from before the window (the first refits then have none).
+    """
+    first = F.min("cal_idx").over(Window.partitionBy("window_id")) if inside_window else F.lit(1)
+    return (months.withColumn("earliest", first).where("is_refit").where("cal_idx > earliest")
+            .select("window_id", "refit_no", F.greatest(F.col("cal_idx") - trailing, F.col("earliest")).cast("bigint").alias("lo"), (F.col("cal_idx") - 1).cast("bigint").alias("hi")))
 
-def pair(i: int, j: int) -> str:
-    return f"s_{min(i, j)}_{max(i, j)}"
 
+def refit_moments(returns: DataFrame, months: DataFrame, roster: Roster, trailing: int, inside_window: bool = False,
+                  cal: DataFrame | None = None, available: dict[int, int] | None = None) -> DataFrame:
+    """Population covariances and the fourth-moment sum ``q`` of the demeaned rows, per refit; 0 for series that aren't available.
 
-def refit_moments(rows: DataFrame, roster: Roster) -> DataFrame:
-    """Population covariances and the fourth-moment sum ``q`` of the demeaned rows, per refit; 0 for series that aren't available."""
+    A refit is two look-ups in the running sums, however long its history and however many refits overlap. ``available`` is the bitmask of the series
+    that count, per window (all, if not given). Refits with fewer than ``MIN_ROWS`` rows or with a hole in an available series are left out.
+    """
     n = roster.n
-    over = "OVER (PARTITION BY window_id, refit_no)"
-    demeaned = rows.selectExpr("window_id", "refit_no", "avail", *[
-        f"CASE WHEN shiftright(avail, {i}) & 1 = 1 THEN r_{i} - avg(r_{i}) {over} ELSE 0D END AS x_{i}" for i in range(n)])
-    norm = " + ".join(f"x_{i} * x_{i}" for i in range(n))
-    return demeaned.groupBy("window_id", "refit_no", "avail").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.expr(f"sum(({norm}) * ({norm}))").alias("q"),
-        *[F.expr(f"avg(x_{i} * x_{j})").alias(pair(i, j)) for i in range(n) for j in range(i, n)])
+    sums = materialize(running_sums(returns, roster, calendar(returns) if cal is None else cal, trailing))
+    spans = refit_spans(months, trailing, inside_window)
+    if available is None:
+        spans = spans.withColumn("avail", F.lit((1 << n) - 1).cast("bigint"))
+    else:
+        kept = spans.sparkSession.createDataFrame([(w, a) for w, a in available.items() if a], "window_id int, avail bigint")
+        spans = spans.join(F.broadcast(kept), "window_id")  # a row per window
+    looked = (spans.join(sums.select(F.col("cal_idx").alias("lo"), "before", "onward"), "lo")
+              .join(sums.select(F.col("cal_idx").alias("hi"), "upto"), "hi")
+              .withColumn("same", F.expr(f"(lo - 1) div {trailing} = (hi - 1) div {trailing}"))
+              .select("window_id", "refit_no", "avail", "upto", F.when(F.col("same"), F.transform("before", lambda x: -x)).otherwise(F.col("onward")).alias("other")))
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
+
+    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            f = np.stack(batch["upto"].to_numpy()) + np.stack(batch["other"].to_numpy())
+            t, counts, s = f[:, 0], f[:, 1:n + 1], f[:, n + 1:2 * n + 1]
+            xx, four, three = (f[:, 2 * n + 1 + k * n * n:2 * n + 1 + (k + 1) * n * n].reshape(-1, n, n) for k in range(3))
+            on = (batch["avail"].to_numpy()[:, None] >> np.arange(n) & 1).astype(float)
+            ok = (t >= MIN_ROWS) & ((counts == t[:, None]) | (on == 0)).all(axis=1)
+            t = np.maximum(t, 1.0)
+            m, square = s / t[:, None], np.einsum("bii->bi", xx)
+            both = on[:, :, None] * on[:, None, :]
+            cov = (xx - t[:, None, None] * m[:, :, None] * m[:, None, :]) / t[:, None, None] * both
+            # (x_i - m_i)^2 (x_j - m_j)^2, multiplied out; terms that only swap i and j are taken twice
+            mi, mj, si = m[:, :, None], m[:, None, :], s[:, :, None]
+            q = four - 4 * mj * three + 2 * mj**2 * square[:, :, None] + 4 * mi * mj * xx - 4 * mi * mj**2 * si + t[:, None, None] * mi**2 * mj**2
+            out = pd.DataFrame({"window_id": batch["window_id"], "refit_no": batch["refit_no"], "avail": batch["avail"], "n_rows": t.astype(np.int64),
+                                "q": (q * both).sum(axis=(1, 2)), **{pair(i, j): cov[:, i, j] for i, j in pairs}})
+            yield out[ok]
+
+    schema = "window_id int, refit_no int, avail bigint, n_rows bigint, q double, " + ", ".join(f"{pair(i, j)} double" for i, j in pairs)
+    return looked.mapInPandas(moments, schema)
 
 
 def shrink(moments: DataFrame, roster: Roster, mode: str = "lw") -> DataFrame:
@@ -94,8 +146,7 @@ def shrink(moments: DataFrame, roster: Roster, mode: str = "lw") -> DataFrame:
 def refit_covariance(returns: DataFrame, months: DataFrame, roster: Roster,
                      trailing: int = 36, mode: str = "lw", inside_window: bool = False,
                      cal: DataFrame | None = None, available: dict[int, int] | None = None) -> DataFrame:
-    rows = refit_rows(returns, months, roster, trailing, inside_window, cal, available)
-    return shrink(refit_moments(rows, roster), roster, mode)
+    return shrink(refit_moments(returns, months, roster, trailing, inside_window, cal, available), roster, mode)
 
 
 def long_entries(cov: DataFrame, roster: Roster) -> DataFrame:

@@ -151,6 +151,21 @@ def window_months(returns: DataFrame, windows: DataFrame, cadence: str = "A", ca
             .select("window_id", "period", "cal_idx", "m_idx", "is_refit", "refit_no", "refit_idx"))
 
 
+def window_days(returns: DataFrame, windows: DataFrame, cadence: str = "D", cal: DataFrame | None = None) -> DataFrame:
+    """Calendar rows of every window, for panels of days: a refit at each (D), or at the first of each month (M).
+
+    Windows are exploded to days, so meeting the calendar is an equi-join.
+    """
+    cal = (calendar(returns) if cal is None else cal).select("period", "cal_idx")
+    days = windows.withColumn("period", F.explode(F.sequence("start_d", "end_d"))).join(F.broadcast(cal), "period")
+    by_window = Window.partitionBy("window_id").orderBy("period")
+    first = F.row_number().over(Window.partitionBy("window_id", F.trunc("period", "MM")).orderBy("period")) == 1
+    return (days.withColumn("is_refit", F.lit(True) if cadence == "D" else first)
+            .withColumn("refit_no", F.sum(F.col("is_refit").cast("int")).over(by_window).cast("int"))
+            .withColumn("m_idx", F.row_number().over(by_window) - 1)
+            .select("window_id", "period", "cal_idx", "m_idx", "is_refit", "refit_no"))
+
+
 def availability(returns: DataFrame, months: DataFrame, roster: Roster) -> dict[int, int]:
     """Bitmask of the complete series per window. One row per window comes back, no series data."""
     n = months.groupBy("window_id").agg(F.count(F.lit(1)).alias("n_window"))

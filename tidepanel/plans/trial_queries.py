@@ -13,7 +13,7 @@ from tidepanel.operators import weights as wt
 from tidepanel.operators.search import diversification, plan_metrics, search
 from tidepanel.operators.solvers import solver_weights
 from tidepanel.operators.trials import TRIAL_KEYS, plan_trials, trial_months
-from tidepanel.operators.universe import Roster, availability, combo_text, portfolio_space, window_months
+from tidepanel.operators.universe import Roster, availability, combo_text, portfolio_space, window_days, window_months
 from tidepanel.plans import fixtures as fx
 from tidepanel.plans import trial_sql as ts
 from tidepanel.plans.oracle import levels, q, recursive, returns, with_
@@ -121,6 +121,32 @@ def refit_cov(spark, sf_dir):
     return cov.select("window_id", "refit_no", "n_rows", "delta", mean.alias("mean_vol"))
 
 
+def often(refit: str, select: str) -> str:
+    """SQL of covariances with a refit as often as ``refit`` (an expression over the period) changes."""
+    return select.replace("PARTITION BY window_id ORDER BY year(period)", f"PARTITION BY window_id ORDER BY {refit}")
+
+
+@query("cov_monthly", often("last_day(period)", cov_sql((fx.TRAIN,), 36, "lw", ENTRIES.format(c=q("c", 10)))), digits=10)
+def cov_monthly(spark, sf_dir):
+    """A refit every month: 23 overlapping histories of 36 months."""
+    r = fx.brand_returns(spark, sf_dir)
+    months = materialize(window_months(r, fx.window(spark, fx.TRAIN), "M"))
+    return cv.long_entries(cv.refit_covariance(r, months, R, S.trailing, "lw", available=availability(r, months, R)), R)
+
+
+EVENTS = Roster(("click", "error", "purchase", "signup", "view"), ("click",), ("error",))
+EVENT_SPAN = ("2024-01-14", "2024-01-30")
+
+
+@query("cov_daily", often("period", with_([*returns("event_day"), ts.roster_cte(EVENTS), *ts.months_ctes(ts.windows_cte((EVENT_SPAN,))), *ts.availability_ctes(False),
+                                           *ts.covariance_ctes(14, "lw")], ENTRIES.format(c=q("c", 10)))), digits=10)
+def cov_daily(spark, sf_dir):
+    """A refit every day over a daily calendar, each with the 14 days before it."""
+    r = materialize(rt.non_null(rt.simple_returns(panels.event_day(spark, sf_dir))))
+    days = materialize(window_days(r, fx.window(spark, EVENT_SPAN)))
+    return cv.long_entries(cv.refit_covariance(r, days, EVENTS, 14, "lw", available=availability(r, days, EVENTS)), EVENTS)
+
+
 def trial_combos(spark, returns_, months, partitions: int = 8) -> DataFrame:
     """Portfolios of every window, laid out by (window, mask)."""
     return portfolio_space(spark, R, S.min_sleeves, S.max_sleeves, availability(returns_, months, R)).repartition(partitions, "window_id", "mask")
