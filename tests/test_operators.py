@@ -121,6 +121,31 @@ def test_shrinkage_equals_a_loop(spark, returns, matrix):
         assert np.allclose(np.array(got[k].cov).reshape(6, 6), shrunk(matrix[t - 36:t]), atol=1e-12)
 
 
+@pytest.mark.parametrize("days", [1, 45, 400, 100_000])
+def test_drawdown_of_a_series_in_many_blocks(spark, days):
+    """Blocks of a month, two, a year and the whole: holes, a total loss and a return below -100 % among them."""
+    rng = np.random.default_rng(11)
+    series = {"plain": rng.normal(0.01, 0.2, 60), "holes": np.where(rng.random(60) < 0.3, np.nan, rng.normal(0, 0.1, 60)), "lost": np.r_[rng.normal(0, 0.1, 20), -1.0, rng.normal(0, 0.1, 39)],
+              "below": np.r_[rng.normal(0, 0.1, 15), -1.4, rng.normal(0, 0.1, 20), -1.2, rng.normal(0, 0.1, 23)], "none": np.full(60, np.nan)}
+    rows = [(e, month(t), None if np.isnan(v) else float(v), 7) for e, x in series.items() for t, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "entity string, period date, ret double, other int")
+    got = {(r.entity, r.period): r for r in sg.drawdown(df, ["entity"], block=F.expr(f"datediff(period, date'1990-01-01') div {days}")).collect()}
+    for e, x in series.items():
+        w, peak, at = None, None, None
+        for t, v in enumerate(x):
+            w = w if np.isnan(v) else (1.0 if w is None else w) * (1 + v)
+            if w is not None and not np.isnan(v) and (peak is None or w >= peak):
+                peak, at = w, month(t)
+            r = got[e, month(t)]
+            assert r.other == 7
+            if w is None:
+                assert r.wealth is None and r.dd is None
+            else:
+                assert math.isclose(r.wealth, w, rel_tol=1e-12, abs_tol=1e-15)
+                assert math.isclose(r.dd, w / peak - 1, rel_tol=1e-9, abs_tol=1e-12)
+                assert e in ("lost", "below", "holes") or r.peak.period == at
+
+
 def loop_backtest(matrix, members, weights_at, coef, start, stop, cost, lev):
     """Month by month with an explicit drifting position."""
     pos, rows = None, []

@@ -127,7 +127,7 @@ def crisis_average(windows: Windows, net: str = "net") -> Column:
 def trial_metrics(trials: DataFrame, keys: Sequence[str], crisis: Windows | None = None) -> DataFrame:
     """One row per trial. Needs ``net, gross, turnover`` and the reference columns that are present."""
     have = set(trials.columns)
-    df = sg.drawdown(trials, list(keys), "net")
+    df = sg.drawdown_in_order(trials, list(keys), "net")
     stats = [*basic(), *costs(), F.min("dd").alias("max_drawdown"),
              F.sqrt(mean(F.col("dd") * F.col("dd"), F.count("net"))).alias("ulcer")]
     if {"eq_ref", "bd_ref"} <= have:
@@ -156,11 +156,7 @@ def sortino(net: str = "net") -> Column:
 
 def drawdown_stats(series: DataFrame, keys: Sequence[str], net: str = "net") -> DataFrame:
     """Depth, peak and trough month, ulcer index and Calmar ratio (null without a drawdown)."""
-    df = sg.drawdown(series, list(keys), net)
-    df = df.withColumn("_peak_wealth", F.max("wealth").over(sg.through(list(keys))))
-    first_at = sg.through(list(keys))
-    df = df.withColumn("_peak", F.max(F.when(F.col("wealth") == F.col("_peak_wealth"), F.struct("wealth", "period")))
-                       .over(first_at)["period"])
+    df = sg.drawdown(series, list(keys), net).withColumn("_peak", F.col("peak.period"))
     out = df.groupBy(*keys).agg(
         F.min("dd").alias("max_drawdown"), F.min("period").alias("_first"),
         F.min_by("period", F.struct("dd", "period")).alias("_trough"),

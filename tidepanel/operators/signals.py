@@ -172,7 +172,40 @@ def realised_volatility(keys: Sequence[str], lookback: int) -> Column:
     return zero_if_null(full(frame, lookback, F.stddev_samp("ret").over(frame))) * math.sqrt(12.0)
 
 
-def drawdown(df: DataFrame, keys: Sequence[str], column: str = "ret") -> DataFrame:
-    """Adds ``wealth`` and ``dd``; the start value 1.0 is not part of the running peak."""
+def drawdown_in_order(df: DataFrame, keys: Sequence[str], column: str = "ret") -> DataFrame:
+    """Adds ``wealth`` and ``dd``; the start value 1.0 is not part of the running peak.
+
+    One frame per series: for trials, whose months are laid out together and must not move.
+    """
     return (df.withColumn("wealth", wealth(keys, column))
             .withColumn("dd", safe_div(F.col("wealth"), F.max("wealth").over(through(keys))) - 1))
+
+
+def drawdown(df: DataFrame, keys: Sequence[str], column: str = "ret", block: Column | None = None) -> DataFrame:
+    """The same ``wealth`` and ``dd``, and ``peak`` (wealth and period of the running peak), with no task per series.
+
+    A block of periods (a year, if not given) is summed up as its growth and the highest and lowest growth reached inside it. Such states combine:
+    growths multiply, and a block's top is its highest growth, or its lowest after a negative one, times the growth before it. Only states, one per series and
+    block, are put in order by series; rows are ordered inside their block and meet the state before it. ``block`` must rise with the period.
+    """
+    keys = list(keys)
+    inside = Window.partitionBy(*keys, "_block").orderBy("period")
+    w = F.product(1 + F.col(column)).over(inside)
+    rows = df.withColumn("_block", F.year("period") if block is None else block).withColumn("_w", w)
+    states = rows.groupBy(*keys, "_block").agg(
+        F.product(1 + F.col(column)).alias("_g"), F.max(F.when(F.col("_w").isNotNull(), F.struct("_w", "period"))).alias("_hi"),
+        F.max(F.when(F.col("_w").isNotNull(), F.struct((-F.col("_w")).alias("_w"), "period"))).alias("_lo"))
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    states = states.withColumn("_grown", F.product("_g").over(earlier))
+    before = F.coalesce("_grown", F.lit(1.0))
+    top = F.when(before >= 0, F.struct((before * F.col("_hi._w")).alias("wealth"), F.col("_hi.period").alias("period"))) \
+        .otherwise(F.struct((-before * F.col("_lo._w")).alias("wealth"), F.col("_lo.period").alias("period")))
+    states = states.withColumn("_peak", F.max(F.when(F.col("_hi").isNotNull(), top)).over(earlier))
+    carried = states.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_block").alias("_b"), "_grown", "_peak")
+    same = F.col("_block").eqNullSafe(F.col("_b"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    grown = F.when(F.col("_w").isNotNull() | F.col("_grown").isNotNull(), F.coalesce("_grown", F.lit(1.0)) * F.coalesce("_w", F.lit(1.0)))
+    own = F.max(F.when(F.col("_w").isNotNull(), F.struct("wealth", "period"))).over(inside)
+    out = rows.join(carried, same).withColumn("wealth", grown).withColumn("peak", F.greatest("_peak", own))
+    return out.withColumn("dd", safe_div(F.col("wealth"), F.col("peak.wealth")) - 1).select(*df.columns, "wealth", "dd", "peak")
