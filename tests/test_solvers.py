@@ -3,7 +3,9 @@
 import numpy as np
 import pytest
 
+from tidepanel.operators import certificates, solvers
 from tidepanel.operators.solvers import capped_simplex, equal_risk, equal_risk_capped, min_variance, solve
+from tidepanel.operators.universe import Roster
 
 
 def covariances(count, n, seed=0):
@@ -66,3 +68,60 @@ def test_post_hoc_cap_and_infeasible_cap():
     assert solve("erc", cov, 0.22, "posthoc").max() <= 0.22 + 1e-9
     assert np.allclose(solve("erc", cov, 0.1, "capped"), 0.2)
     assert np.allclose(solve("minvar", cov, 0.1, "capped").sum(axis=1), 1.0)
+
+
+def weight_rows(spark, kind, cap, mode, change=None):
+    """Solved portfolios of the first sizes over one random covariance, optionally moved off their optimum."""
+    rng = np.random.default_rng(8)
+    n = 6
+    x = rng.normal(size=(60, n)) * np.array([0.05, 0.1, 0.2, 0.1, 0.02, 0.3])
+    c = np.cov(x.T)
+    names = tuple("abcdef")
+    roster = Roster(names, names[:2], names[2:4])
+    cov = spark.createDataFrame([(0, 1, c.ravel().tolist())], "window_id int, refit_no int, cov array<double>")
+    problems = spark.createDataFrame([(0, m, m.bit_count()) for m in range(1, 64) if m.bit_count() >= 4], "window_id int, mask bigint, n_sleeves int")
+    w = solvers.solver_weights(problems, cov, roster, [kind], cap, mode, partitions=2).toPandas()
+    if change:
+        for r in range(len(w)):
+            held = [f"b_{i}" for i in range(n) if w.at[r, "mask"] >> i & 1]
+            lightest, heaviest = w.loc[r, held].astype(float).idxmin(), w.loc[r, held].astype(float).idxmax()
+            moved = min(change, w.at[r, heaviest] / 2, cap - w.at[r, lightest] if cap else 1)
+            w.at[r, heaviest] -= moved
+            w.at[r, lightest] += moved
+    return spark.createDataFrame(w), cov, roster
+
+
+@pytest.mark.parametrize("kind,cap,mode,bound", [("minvar", 0.35, "capped", 1e-5), ("erc", 0.0, "none", 1e-7), ("erc", 0.35, "capped", 1e-7)])
+def test_certificates_tell_solved_from_moved(spark, kind, cap, mode, bound):
+    gap = {("minvar", "capped"): lambda *a: certificates.minimum_variance_gap(*a, cap), ("erc", "none"): certificates.equal_risk_gap,
+           ("erc", "capped"): lambda *a: certificates.capped_risk_gap(*a, cap)}[kind, mode]
+    good = gap(*weight_rows(spark, kind, cap, mode)).toPandas()
+    assert len(good) == 22 and good["gap"].max() <= bound
+    moved = gap(*weight_rows(spark, kind, cap, mode, 0.02)).toPandas()
+    assert (moved["gap"] > 10 * bound).all()
+
+
+def test_own_schemes_are_shipped_and_made_usable(spark):
+    def odd(cov, vol, cap, mode):
+        w = 1.0 / vol
+        w[::3] = np.nan
+        w[1::3, 0] = -1.0
+        return w
+
+    _, cov, roster = weight_rows(spark, "minvar", 0.35, "capped")
+    problems = spark.createDataFrame([(0, m, m.bit_count()) for m in range(1, 64) if m.bit_count() >= 4], "window_id int, mask bigint, n_sleeves int")
+    got = solvers.solver_weights(problems, cov, roster, [], 0.35, partitions=1, own={"odd": odd}).toPandas()
+    w = got[[f"b_{i}" for i in range(6)]].to_numpy()
+    assert len(got) == 22 and set(got["base"]) == {"odd"}
+    assert np.allclose(w.sum(axis=1), 1) and (w >= 0).all() and w.max() <= 0.35 + 1e-9
+    with pytest.raises(Exception, match="shape"):
+        solvers.solver_weights(problems, cov, roster, [], 0.35, partitions=1, own={"bad": lambda cov, vol, cap, mode: vol[:, :1]}).count()
+
+
+def test_matrices_beyond_the_bound_ride_along(spark, monkeypatch):
+    _, cov, roster = weight_rows(spark, "minvar", 0.35, "capped")
+    problems = spark.createDataFrame([(0, 15, 4), (0, 63, 6)], "window_id int, mask bigint, n_sleeves int")
+    run = lambda: solvers.solver_weights(problems, cov, roster, ["minvar"], 0.35, partitions=1).orderBy("mask").toPandas()
+    one = run()
+    monkeypatch.setattr(solvers, "MATRIX_BYTES", 0)
+    assert np.allclose(run()[["b_0", "b_3", "b_5"]], one[["b_0", "b_3", "b_5"]])

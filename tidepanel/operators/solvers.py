@@ -7,7 +7,7 @@ portfolio size and all its problems step together as one stack of small matrices
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -141,9 +141,27 @@ def _cap(w: np.ndarray, cap: float) -> np.ndarray:
     return w / w.sum(axis=1, keepdims=True)
 
 
-def solve(kind: str, cov: np.ndarray, cap: float, erc_cap_mode: str) -> np.ndarray:
+#: A caller's scheme: covariances (batch, n, n), volatilities (batch, n), the cap and the cap mode give weights (batch, n).
+Scheme = Callable[[np.ndarray, np.ndarray, float, str], np.ndarray]
+
+
+def allowed_weights(w: np.ndarray, cap: float) -> np.ndarray:
+    """What any scheme returns, made usable: not finite or without a positive sum is equal weight, negative is zero, the rest sums to one under the cap."""
+    n = w.shape[1]
+    w = np.where(np.isfinite(w).all(axis=1, keepdims=True), np.maximum(w, 0.0), 0.0)
+    w = np.where(w.sum(axis=1, keepdims=True) > 0, w, 1.0 / n)
+    return _cap(w, cap)
+
+
+def solve(kind: str, cov: np.ndarray, cap: float, erc_cap_mode: str, own: Mapping[str, Scheme] | None = None) -> np.ndarray:
     capped = 0.0 < cap < 1.0
     n = cov.shape[1]
+    if own and kind in own:
+        vol = np.sqrt(np.maximum(np.einsum("bii->bi", cov), 1e-12))
+        w = np.asarray(own[kind](cov, vol, cap, erc_cap_mode), dtype=float)
+        if w.shape != vol.shape:
+            raise ValueError(f"{kind} gave weights of shape {w.shape} for {vol.shape}")
+        return allowed_weights(w, cap)
     if kind == "minvar":
         w = min_variance(cov, cap if capped else 0.0)
         own_cap = True
@@ -161,28 +179,39 @@ def solve(kind: str, cov: np.ndarray, cap: float, erc_cap_mode: str) -> np.ndarr
     return np.where(loose[:, None], _cap(w, cap), scaled) if loose.any() else scaled
 
 
+MATRIX_BYTES = 256 << 20  # covariances that are broadcast; beyond, each problem row carries its own
+
+
 def solver_weights(problems: DataFrame, cov: DataFrame, roster: Roster, kinds: Sequence[str],
-                   cap: float, erc_cap_mode: str = "capped", partitions: int | None = None) -> DataFrame:
+                   cap: float, erc_cap_mode: str = "capped", partitions: int | None = None, own: Mapping[str, Scheme] | None = None) -> DataFrame:
     """``(window_id, mask, n_sleeves, refit_no, base, b_0 ..)`` for every problem and kind.
 
-    ``problems`` is ``(window_id, mask, n_sleeves)``; ``cov`` has one row per (window, refit), so
-    its broadcast is bounded by the calendar. The full matrix goes along once per row and the
-    task cuts the sub-matrix of the portfolio.
+    ``problems`` is ``(window_id, mask, n_sleeves)``; ``cov`` has one row per (window, refit): a calendar's worth, broadcast to the tasks once after its
+    size is checked, so a problem is a few numbers and the task cuts the sub-matrix of its portfolio. ``own`` maps further
+    kinds to callers' functions, which travel with the job by value and see all problems of one size in a batch at once.
     """
     # The solver functions travel with the job, so executors need no copy of the package.
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    n, kinds = roster.n, tuple(kinds)
+    for module in {__name__, *(fn.__module__ for fn in (own or {}).values() if getattr(fn, "__module__", "__main__") != "__main__")}:
+        cloudpickle.register_pickle_by_value(sys.modules[module])
+    n, kinds, spark = roster.n, (*kinds, *(own or {})), problems.sparkSession
     schema = T.StructType([
         T.StructField("window_id", T.IntegerType()), T.StructField("mask", T.LongType()),
         T.StructField("n_sleeves", T.IntegerType()), T.StructField("refit_no", T.IntegerType()),
         T.StructField("base", T.StringType()),
         *[T.StructField(f"b_{i}", T.DoubleType()) for i in range(n)]])
+    keys = [(r["window_id"], r["refit_no"]) for r in cov.select("window_id", "refit_no").distinct().limit(MATRIX_BYTES // (8 * n * n) + 1).collect()]
+    if len(keys) * n * n * 8 <= MATRIX_BYTES:
+        rows = cov.select("window_id", "refit_no", "cov").collect()
+        held = spark.sparkContext.broadcast(np.array([r["cov"] for r in rows], dtype=float).reshape(-1, n, n))
+        matrices = spark.createDataFrame([(r["window_id"], r["refit_no"], k) for k, r in enumerate(rows)], "window_id int, refit_no int, matrix int")
+    else:
+        held, matrices = None, cov.select("window_id", "refit_no", F.col("cov").alias("matrix"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if batch.empty:
                 continue
-            covs = np.stack(batch["cov"].to_numpy()).reshape(-1, n, n)
+            covs = held.value[batch["matrix"].to_numpy()] if held else np.stack(batch["matrix"].to_numpy()).reshape(-1, n, n)
             masks = batch["mask"].to_numpy()
             bits = (masks[:, None] >> np.arange(n)) & 1
             sizes = bits.sum(axis=1)
@@ -192,14 +221,13 @@ def solver_weights(problems: DataFrame, cov: DataFrame, roster: Roster, kinds: S
                     rows = np.flatnonzero(sizes == size)
                     cols = np.nonzero(bits[rows])[1].reshape(-1, size)
                     sub = covs[rows[:, None, None], cols[:, :, None], cols[:, None, :]]
-                    weights[rows[:, None], cols] = solve(kind, sub, cap, erc_cap_mode)
+                    weights[rows[:, None], cols] = solve(kind, sub, cap, erc_cap_mode, own)
                 out = batch[["window_id", "mask", "n_sleeves", "refit_no"]].reset_index(drop=True)
                 out["base"] = kind
                 yield pd.concat([out, pd.DataFrame(weights, columns=[f"b_{i}" for i in range(n)])], axis=1)
 
-    partitions = partitions or problems.sparkSession.sparkContext.defaultParallelism
+    partitions = partitions or spark.sparkContext.defaultParallelism
     # Neighbouring masks share their size, so the spread is by hash and not by range.
     spread = (problems.select("window_id", "mask", F.col("n_sleeves").cast("int").alias("n_sleeves"))
               .repartition(partitions, "window_id", "mask"))
-    return (spread.join(F.broadcast(cov.select("window_id", "refit_no", "cov")), "window_id")
-            .mapInPandas(run, schema))
+    return spread.join(F.broadcast(matrices) if held else matrices, "window_id").mapInPandas(run, schema)

@@ -6,6 +6,7 @@ import dataclasses
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tidepanel.operators import certificates as ct
 from tidepanel.operators import covariance as cv
 from tidepanel.operators import metrics as mt
 from tidepanel.operators import returns as rt
@@ -169,9 +170,9 @@ def w_ew(spark, sf_dir):
 
 
 def inverse(base: str, power: int):
+    # capped rows exist only where a refit has a covariance
     sql = with_([*WEIGHT_BASE, *ts.weights_ctes([base], S.cap)],
-                f"SELECT window_id, mask, refit_no::INTEGER AS refit_no, entity AS sleeve, {q('b')} AS w FROM bw JOIN ros USING (i) "
-                "SEMI JOIN xg USING (window_id, refit_no)")
+                f"SELECT window_id, mask, refit_no::INTEGER AS refit_no, entity AS sleeve, {q('w')} AS w FROM cap_{base} JOIN ros USING (i)")
 
     @query(f"w_{base}", sql)
     def run(spark, sf_dir):
@@ -254,6 +255,38 @@ def erc_self_check(spark, sf_dir):
         F.max(F.abs(F.col("share") - F.lit(1.0) / F.col("n_sleeves"))).alias("max_gap"))
 
 
+#: Largest gap that counts as solved, per certificate.
+BOUNDS = {"cert_minvar": 1e-5, "cert_erc": 1e-7, "cert_erc_capped": 1e-7}
+LISTED = [*WEIGHT_BASE, ("lst", "SELECT combos.window_id, mask, rf.refit_no::INTEGER AS refit_no, true AS solved FROM combos JOIN rf USING (window_id)")]
+
+
+def certificate(name: str, gap) -> None:
+    @query(name, with_(LISTED, "SELECT * FROM lst"))
+    def run(spark, sf_dir):
+        return gap(spark, sf_dir).select("window_id", "mask", "refit_no", (F.col("gap") <= BOUNDS[name]).alias("solved"))
+
+
+# The SQL lists every portfolio and refit as solved: none may be missing, none above its bound.
+certificate("cert_minvar", lambda spark, sf_dir: ct.minimum_variance_gap(*solved(spark, sf_dir, ["minvar"]), R, S.cap))
+certificate("cert_erc", lambda spark, sf_dir: ct.equal_risk_gap(*solved(spark, sf_dir, ["erc"], "none", 0.0), R))
+certificate("cert_erc_capped", lambda spark, sf_dir: ct.capped_risk_gap(*solved(spark, sf_dir, ["erc"]), R, S.cap))
+
+
+def root_volatility(cov, vol, cap, mode):
+    """A caller's scheme: weights fall with the root of the volatility."""
+    return vol ** -0.5
+
+
+@query("w_own_scheme", with_(
+    [*WEIGHT_BASE, ("raw_own", "SELECT m.window_id, mask, refit_no, m.i, 1.0 / sqrt(v) AS w0 FROM mem m JOIN vol ON vol.window_id = m.window_id AND vol.i = m.i"),
+     *ts.capped_ctes("raw_own", "window_id, mask, refit_no", S.cap, "cap_own")],
+    f"SELECT window_id, mask, refit_no::INTEGER AS refit_no, 'root-vol' AS base, entity AS sleeve, {q('w')} AS w FROM cap_own JOIN ros USING (i)"))
+def w_own_scheme(spark, sf_dir):
+    """A scheme that the library does not know, given as a function."""
+    r, months, cov = covariances(spark, sf_dir, "lw")
+    return long_weights(solver_weights(trial_combos(spark, r, months), cov, R, [], S.cap, own={"root-vol": root_volatility}), KEYS)
+
+
 def risk_contributions(weights: DataFrame, cov: DataFrame) -> DataFrame:
     """Share of the variance per member, w·(Sw) / w'Sw."""
     n = R.n
