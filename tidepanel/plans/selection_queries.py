@@ -7,6 +7,7 @@ import dataclasses
 from pyspark.sql import DataFrame, functions as F
 
 from tidepanel.functions.scalar import fixed_text, percent_text
+from tidepanel.operators import books as bk
 from tidepanel.operators import returns as rt
 from tidepanel.operators import selection as sl
 from tidepanel.operators import stats as st
@@ -14,7 +15,8 @@ from tidepanel.operators.metrics import trial_metrics
 from tidepanel.operators.scoring import quick_score, score_and_rank
 from tidepanel.operators.search import evaluate, plan_metrics, search, top, winners
 from tidepanel.operators.trials import TRIAL_KEYS, plan_trials, trial_months
-from tidepanel.operators.universe import Roster
+from tidepanel.operators.universe import Roster, combo_text
+from tidepanel.plans import book_queries as bq
 from tidepanel.plans import fixtures as fx
 from tidepanel.plans import trial_sql as ts
 from tidepanel.plans.oracle import q, recursive, with_
@@ -101,11 +103,11 @@ EVAL = [*ts.search_ctes((fx.TRAIN,), SCORED, "asymmetric2", also=fx.TEST), AT_TR
 EV_COLUMNS = ["train_score", "train_sharpe", "sharpe_net", "ann_return_net", "both_down_annualized", "max_drawdown", "upside_beta", "downside_beta", "test_score"]
 
 
-def evaluation(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+def evaluation(spark, sf_dir, schemes=SCORED) -> tuple[DataFrame, DataFrame]:
     r = fx.brand_returns(spark, sf_dir)
     ctx = fx.context(spark, sf_dir, r)
-    train = ranked(spark, sf_dir, SCORED, "asymmetric2", r=r, ctx=ctx, also=fx.window(spark, fx.TEST))
-    return train, sl.test_of_top(r, train, 50, fx.window(spark, fx.TEST), R, SCORED, S, ctx, "asymmetric2")
+    train = ranked(spark, sf_dir, schemes, "asymmetric2", r=r, ctx=ctx, also=fx.window(spark, fx.TEST))
+    return train, sl.test_of_top(r, train, 50, fx.window(spark, fx.TEST), R, schemes, S, ctx, "asymmetric2")
 
 
 @query("test_eval", recursive(EVAL, "SELECT " + ts.pick(EV_COLUMNS, ["scheme", "mask", "train_rank", "test_rank"]) + " FROM ev"), digits=6)
@@ -186,6 +188,60 @@ def gross_cost(spark, sf_dir):
                      (F.greatest(F.col("gross_notional_last") - 1, F.lit(0.0)) * S.lev_rate).alias("lev_cost_ann"))
 
 
+#: The whole menu: the benchmark and the training winner of every scheme, on the test window.
+BENCH = [bq.sql_weights({"All-Weather": fx.STATIC}), ("bk", f"SELECT portfolio, period, entity, w, ret FROM wr JOIN ret USING (entity) WHERE period BETWEEN DATE '{fx.TEST[0]}' AND DATE '{fx.TEST[1]}'"),
+         *bq.cost_ctes(S.cost), ("bmt", "SELECT 0 AS window_id, portfolio AS scheme, 0::BIGINT AS mask, period, 0 AS n_sleeves, gross, turnover, 1.0::DOUBLE AS notional, net FROM fc"),
+         *ts.metric_ctes("bmt", "bmm")]
+FULL_MENU_SQL = [*ts.search_ctes((fx.TRAIN,), SEARCH_SCHEMES, "asymmetric2", also=fx.TEST), BEST, ("pickd", "SELECT 0 AS window_id, scheme, mask FROM best"),
+                 *rename([*ts.trial_ctes((fx.TEST,), R, SEARCH_SCHEMES, S, only="zz_only"), *ts.metric_ctes()], "te_"), *BENCH,
+                 ("allm", "SELECT * FROM te_met UNION ALL BY NAME SELECT * FROM bmm"),
+                 ("nc", "SELECT greatest(count(*), 2) AS nt FROM combos"),
+                 ("sm", "SELECT scheme, count(net) AS n, skewness(net) AS sk, kurtosis(net) AS ku, avg(net) / stddev_samp(net) AS sr, any_value(nt) AS nt FROM te_tm, nc GROUP BY 1"),
+                 ("ds", "SELECT scheme, (sr - (sqrt(2 * ln(nt)) - 0.5772156649015329 / sqrt(2 * ln(nt))) / sqrt(n)) * sqrt(12.0) AS dsr FROM sm")]
+FULL_MENU_SQL = [(n, b.replace("zz_only", "pickd")) for n, b in FULL_MENU_SQL]
+SHOWN = {"ann_ret": ("ann_return_net", "%.2f%%", 100), "sharpe": ("sharpe_net", "%.2f", 1), "maxdd": ("max_drawdown", "%.2f%%", 100), "both_down": ("both_down_annualized", "%.2f%%", 100),
+         "up_beta": ("upside_beta", "%.2f", 1), "dn_beta": ("downside_beta", "%.2f", 1), "dn_corr": ("downside_corr_eq", "%.2f", 1), "gross": ("gross_notional_last", "%.2f", 1)}
+NAMES_OF = ", ".join(f"CASE WHEN (mask >> {i}) & 1 = 1 THEN '{x}' END" for i, x in enumerate(R.names))
+
+
+@query("menu_ranked", recursive(FULL_MENU_SQL, f"SELECT scheme, CASE WHEN mask = 0 THEN 'benchmark' ELSE concat_ws(',', {NAMES_OF}) END AS combo, "
+                                + ", ".join(f"coalesce(printf('{f}', {c} * {k}), 'n/a') AS {n}" for n, (c, f, k) in SHOWN.items())
+                                + f", printf('%.2f%%', greatest(gross_notional_last - 1, 0) * {S.lev_rate} * 100) AS lev_cost, coalesce(printf('%.2f', dsr), 'n/a') AS dsr, "
+                                "'n/a' AS sharpe_ci FROM allm LEFT JOIN ds USING (scheme)"))
+def menu_ranked(spark, sf_dir):
+    """The benchmark and 41 schemes; ``menu_ranked_full`` takes all 50."""
+    return full_menu(spark, sf_dir, SEARCH_SCHEMES)
+
+
+@query("menu_ranked_full")
+def menu_ranked_full(spark, sf_dir):
+    return full_menu(spark, sf_dir, fx.SCHEMES)
+
+
+def full_menu(spark, sf_dir, schemes, n_boot: int = 1000) -> DataFrame:
+    """Text table by falling Sharpe ratio. The trials of a scheme are its portfolios; an interval needs 24 months."""
+    r = fx.brand_returns(spark, sf_dir)
+    ctx, test = fx.context(spark, sf_dir, r), fx.window(spark, fx.TEST)
+    searched = ranked(spark, sf_dir, schemes, "asymmetric2", r=r, ctx=ctx, also=test)
+    best = winners(searched, ["window_id", "scheme"])
+    plan = evaluate(r, test, best.select(*TRIAL), R, schemes, S, ctx)
+    n_trials = max(searched.select("mask").distinct().count(), 2)
+    months = materialize(trial_months(plan))
+    weights = bk.fixed_weights(bq.weight_rows(spark, {"All-Weather": fx.STATIC}), r)
+    inside = F.col("period").between(*(F.lit(d).cast("date") for d in fx.TEST))
+    bench = bk.rebalanced_months(bk.positions(weights, r.where(inside)), S.cost).join(F.broadcast(ctx), "period", "left").select(
+        F.lit(0).alias("window_id"), F.col("portfolio").alias("scheme"), F.lit(0).cast("bigint").alias("mask"), "period", "gross", "net", "turnover", F.lit(1.0).alias("notional"),
+        *[c for c in ctx.columns if c != "period"])
+    rows = trial_metrics(months.select(*bench.columns).unionByName(bench), TRIAL_KEYS)
+    dsr = st.deflated_sharpe(months, ["scheme"], F.lit(n_trials)).select("scheme", "deflated_sr_ann")
+    ci = st.block_bootstrap(months, ["scheme"], {"sharpe": st.sharpe_stat()}, n_boot=n_boot).where("n >= 24").select("scheme", "sharpe_lo", "sharpe_hi")
+    df = rows.join(F.broadcast(dsr), "scheme", "left").join(F.broadcast(ci), "scheme", "left").orderBy(F.desc_nulls_last("sharpe_net"))  # a row per scheme
+    shown = [(percent_text if k == 100 else fixed_text)(F.col(c)).alias(n) for n, (c, _, k) in SHOWN.items()]
+    return df.select("scheme", F.when(F.col("mask") == 0, "benchmark").otherwise(combo_text(R, F.col("mask"))).alias("combo"), *shown,
+                     percent_text(F.greatest(F.col("gross_notional_last") - 1, F.lit(0.0)) * S.lev_rate).alias("lev_cost"), fixed_text(F.col("deflated_sr_ann")).alias("dsr"),
+                     F.when(F.col("sharpe_lo").isNotNull(), F.format_string("[%.2f, %.2f]", "sharpe_lo", "sharpe_hi")).otherwise("n/a").alias("sharpe_ci"))
+
+
 FOLDS = f"""SELECT row_number() OVER (ORDER BY k)::INTEGER AS window_id, DATE '{fx.FULL[0]}' AS start_d, train_end, test_start, test_end,
  (SELECT count(*) FROM rcal0 WHERE period BETWEEN DATE '{fx.FULL[0]}' AND train_end) AS n_train, (SELECT count(*) FROM rcal0 WHERE period BETWEEN test_start AND test_end) AS n_test
  FROM (SELECT k, last_day(DATE '{fx.FULL[0]}' + to_months(35 + 12 * k::INTEGER)) AS train_end, last_day(DATE '{fx.FULL[0]}' + to_months(36 + 12 * k::INTEGER)) AS test_start,
@@ -219,17 +275,17 @@ HOLD = ("hold", "SELECT p.window_id, p.scheme, p.mask, p.n_sleeves::INTEGER AS n
 HOLD_SQL = "SELECT " + ts.pick(HOLD_COLUMNS, ["window_id", "scheme", "mask", "n_sleeves", "test_months"]) + " FROM hold"
 
 
-def walk(spark, sf_dir, rolling: bool):
+def walk(spark, sf_dir, rolling: bool, schemes=None):
     r = fx.brand_returns(spark, sf_dir)
     ctx = fx.context(spark, sf_dir, r)
     folds_ = sl.rolling_windows(r, *fx.TEST, trailing_years=3) if rolling else folds_of(spark, r)
-    schemes, mode = (EWS, "asymmetric2") if rolling else (COV3, "seasons")
+    schemes, mode = (schemes or EWS, "asymmetric2") if rolling else (schemes or COV3, "seasons")
     also = None if rolling else fx.window(spark, fx.FULL)
     return (*sl.select_and_hold(r, folds_, R, schemes, S, ctx, mode, also), schemes)
 
 
-def hold_report(spark, sf_dir, rolling: bool) -> DataFrame:
-    chosen, months, _, _ = walk(spark, sf_dir, rolling)
+def hold_report(spark, sf_dir, rolling: bool, schemes=None) -> DataFrame:
+    chosen, months, _, _ = walk(spark, sf_dir, rolling, schemes)
     return sl.hold_log(chosen, months).select("window_id", "scheme", "mask", "n_sleeves", "test_months", *HOLD_COLUMNS)
 
 
@@ -257,6 +313,36 @@ def rolling_select(spark, sf_dir):
     return hold_report(spark, sf_dir, True)
 
 
+# The same reports over whole scheme sets. Equal risk and minimum variance have no SQL form: certificates judge their weights, tests their selection.
+FIVE = [fx.BY_NAME[x] for x in ("EW", "InvVol", "InvVar", "ERC", "MinVar")]
+
+
+@query("walk_forward_five", digits=6)
+def walk_forward_five(spark, sf_dir):
+    return hold_report(spark, sf_dir, False, FIVE)
+
+
+@query("rolling_select_full", digits=6)
+def rolling_select_full(spark, sf_dir):
+    return hold_report(spark, sf_dir, True, fx.SCHEMES)
+
+
+@query("best_per_family_full", digits=6)
+def best_per_family_full(spark, sf_dir):
+    return winners(ranked(spark, sf_dir, fx.SCHEMES, "asymmetric2"), ["window_id", "scheme"]).select("scheme", "mask", "rank", *TOP_COLUMNS)
+
+
+@query("test_eval_full", digits=6)
+def test_eval_full(spark, sf_dir):
+    return evaluation(spark, sf_dir, fx.SCHEMES)[1].select("scheme", "mask", "train_rank", "test_rank", *EV_COLUMNS)
+
+
+@query("overfit_diag_full", digits=6)
+def overfit_diag_full(spark, sf_dir):
+    train, ev = evaluation(spark, sf_dir, fx.SCHEMES)
+    return st.overfit_diagnostics(train, materialize(ev))
+
+
 @query("avg_fold_weights", recursive(
     [*WALK, ("lastw", "SELECT p.window_id, b.i, b.b FROM pickd p JOIN bw b ON b.window_id = p.window_id AND b.mask = p.mask AND b.base = CASE p.scheme WHEN 'EW' THEN 'ew' WHEN 'InvVol' THEN 'invvol' ELSE 'invvar' END "
               "WHERE b.refit_no = (SELECT max(refit_no) FROM rf WHERE rf.window_id = p.window_id)")],
