@@ -198,6 +198,34 @@ def test_the_grid_never_moves_trial_months(spark, returns):
     assert "NestedLoop" not in physical and "Cartesian" not in physical
 
 
+def test_folds_together_equal_folds_alone(spark, returns):
+    """Five schemes, equal risk and minimum variance among them: each fold's winner is the one of a search of that fold alone, and so are its months."""
+    from tidepanel.operators.search import evaluate, search
+    schemes = [Scheme(n, base=b, flavor=False) for n, b in (("EW", "ew"), ("InvVol", "invvol"), ("InvVar", "invvar"), ("ERC", "erc"), ("MinVar", "minvar"))]
+    settings = TrialSettings(cap=0.4, cost_bps=10.0, min_sleeves=3, max_sleeves=5)
+    spans = [(k + 1, str(month(40 + 12 * k)), str(month(75 + 12 * k)), str(month(76 + 12 * k)), str(month(87 + 12 * k))) for k in range(2)]
+    folds = spark.createDataFrame(spans, "window_id int, start_d string, train_end string, test_start string, test_end string").select(
+        "window_id", *[F.col(c).cast("date").alias(c) for c in ("start_d", "train_end", "test_start", "test_end")])
+    ctx = returns.groupBy("period").agg(F.avg("ret").alias("eq_ref"), F.min("ret").alias("bd_ref")).withColumn("both_down", (F.col("eq_ref") < 0) & (F.col("bd_ref") < 0)).withColumn("season", F.lit(""))
+    chosen, months, _ = selection.select_and_hold(returns, folds, ROSTER, schemes, settings, ctx, "default")
+    together = {r.window_id: (r.scheme, r.mask) for r in chosen.collect()}
+    net = {(r.window_id, r.period): r.net for r in months.collect()}
+    for k, a, b, c, d in spans:
+        alone = search(returns, windows_frame(spark, [(k, a, b)]), ROSTER, schemes, settings, ctx, "default").toPandas()
+        best = alone.sort_values(["rank", "mask", "scheme"]).iloc[0]
+        assert together[k] == (best["scheme"], best["mask"])
+        only = spark.createDataFrame([(k, best["scheme"], int(best["mask"]))], "window_id int, scheme string, mask bigint")
+        held = trial_months(evaluate(returns, windows_frame(spark, [(k, c, d)]), only, ROSTER, schemes, settings, ctx)).collect()
+        assert len(held) == 12 and all(math.isclose(net[k, r.period], r.net, abs_tol=1e-9) for r in held)
+
+
+def test_panels_are_shared_inside_only(spark, tmp_path):
+    from tidepanel.sources import panels
+    with panels.shared():
+        assert panels.type_month(spark, "/root/testdata/sf0.001") is panels.type_month(spark, "/root/testdata/sf0.001")
+    assert panels.type_month(spark, "/root/testdata/sf0.001") is not panels.type_month(spark, "/root/testdata/sf0.001")
+
+
 def test_fifty_schemes():
     schemes = all_schemes("x")
     assert len(schemes) == 50 == len({s.name for s in schemes})

@@ -16,7 +16,7 @@ QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
 # Queries that run a whole grid; the default run takes the ones listed in SAMPLE.
 GRID = ("search", "score_", "topk_", "best_per_family", "test_eval", "scheme_comparison", "overfit_diag", "fmt_menu", "gross_cost",
         "walk_forward", "oos_concat", "rolling_select", "avg_fold_weights", "bt_flavor", "bt_minvar", "bt_erc", "bt_inv", "bt_ls",
-        "div_ratio", "effective_n", "w_inv", "w_erc", "w_minvar", "solve_weights", "risk_contrib")
+        "div_ratio", "effective_n", "w_inv", "w_erc", "w_minvar", "solve_weights", "risk_contrib", "menu_")
 SAMPLE = {"score_seasons", "bt_flavor_hedge", "bt_flavor_trend", "w_invvar", "search_alt", "oos_concat", "bt_ls_tsmom"}
 
 

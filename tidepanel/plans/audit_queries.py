@@ -264,8 +264,9 @@ TALLY = [*CHECKS]
 
 @query("audit_summary", "SELECT severity, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT * FROM ({sql})" for _, sql in TALLY) + ") GROUP BY 1")
 def audit_summary(spark, sf_dir):
-    """The tally over every finding of every check."""
-    parts = [run(spark, sf_dir).select("severity", "check", "detail") for run, _ in TALLY]
+    """The tally over every finding of every check; the checks share their panels."""
+    with panels.shared():
+        parts = [run(spark, sf_dir).select("severity", "check", "detail") for run, _ in TALLY]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
