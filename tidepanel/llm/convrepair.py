@@ -286,8 +286,10 @@ def recover(made: DataFrame, chained: DataFrame) -> DataFrame:
 
     schema = T.StructType([T.StructField("conv_id", field.dataType), *(T.StructField(n, t) for n, t in (
         ("seq", T.LongType()), ("k", T.IntegerType()), ("edit", T.StringType()), ("new_role", T.StringType())))])
+    # a byte is a row of work here, so tasks are not merged by their bytes
+    tasks = int(made.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return made.select("conv_id", "seq", "symbols").join(chained.select("seq", "start", "end", "close"), "seq").select(
-        "conv_id", "seq", "symbols", "start", "end", "close").mapInArrow(run, schema)
+        "conv_id", "seq", "symbols", "start", "end", "close").repartition(tasks, "seq").mapInArrow(run, schema)
 
 
 def repair(numbered: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:

@@ -17,6 +17,8 @@ import string
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidepanel.llm.names import free_names
+
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # after A-Z are lower-cased
 WITH_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # a word and the gap before it, any case
 BROADCAST_WINDOWS = 400_000  # windows of ten words, about 100 bytes each
@@ -74,11 +76,12 @@ def hit_words(hits: Column) -> Column:
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, cut: bool = False, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
     """The input's columns without contaminated documents or, with ``cut``, all documents without their hit words."""
+    i, h, words = free_names(docs, "bad_id", "bad_hash", "bad_words")
     bad = find_hits(docs, items, size, id_col, text_col, **names).filter(F.size("hits") > 0).dropDuplicates([id_col, "text_hash"]) \
-        .select(F.col(id_col).alias("_bad_id"), F.col("text_hash").alias("_bad_hash"), hit_words(F.col("hits")).alias("_bad_words"))
-    same = F.col(id_col).eqNullSafe(F.col("_bad_id")) & (F.xxhash64(text_col) == F.col("_bad_hash"))
+        .select(F.col(id_col).alias(i), F.col("text_hash").alias(h), hit_words(F.col("hits")).alias(words))
+    same = F.col(id_col).eqNullSafe(F.col(i)) & (F.xxhash64(text_col) == F.col(h))
     if not cut:
         return docs.join(bad, same, "left_anti")
-    kept = F.filter(F.regexp_extract_all(F.col(text_col), F.lit(WITH_GAP), F.lit(0)), lambda _, k: ~F.array_contains("_bad_words", k))
-    clean = F.when(F.col("_bad_words").isNull(), F.col(text_col)).otherwise(F.array_join(kept, ""))
+    kept = F.filter(F.regexp_extract_all(F.col(text_col), F.lit(WITH_GAP), F.lit(0)), lambda _, k: ~F.array_contains(words, k))
+    clean = F.when(F.col(words).isNull(), F.col(text_col)).otherwise(F.array_join(kept, ""))
     return docs.join(bad, same, "left").select(*[clean.alias(c) if c == text_col else F.col(c) for c in docs.columns])

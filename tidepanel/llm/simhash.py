@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tidepanel.llm.components import components
+from tidepanel.llm.names import free_names
 from tidepanel.session import materialize
 
 SEED = 42
@@ -202,11 +203,12 @@ def keep_first(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_c
     each = materialize(found.groupBy("root", place.alias("place")).agg(F.count("*").alias("n")))
     first = each.groupBy("root").agg(F.min("place").alias("first"))
     judged = each.join(first, "root")
-    key = lambda df: df.select(F.col("place.id").alias("_id"), F.col("place.hash").alias("_hash"))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash"))
+    i, h, mixed, place_of = free_names(docs, "place_id", "place_hash", "mixed", "place_of")
+    key = lambda df: df.select(F.col("place.id").alias(i), F.col("place.hash").alias(h))
+    same = F.col(id_col).eqNullSafe(F.col(i)) & (F.xxhash64(text_col) == F.col(h))
     repeated = key(judged.filter((F.col("place") == F.col("first")) & (F.col("n") > 1)))
     others = key(judged.filter((F.col("place") != F.col("first")) | (F.col("n") > 1)))
-    rank = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("_mix"))
+    rank = F.row_number().over(Window.partitionBy(i, h).orderBy(mixed))
     mix = F.xxhash64(*[F.col(c) for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))])
-    again = docs.join(repeated, same).withColumn("_mix", mix).withColumn("_rank", rank).filter("_rank = 1").select(*docs.columns)
+    again = docs.join(repeated, same).withColumn(mixed, mix).withColumn(place_of, rank).filter(F.col(place_of) == 1).select(*docs.columns)
     return docs.join(others, same, "left_anti").unionByName(again)
