@@ -34,29 +34,36 @@ class Index:
 
     def __init__(self, tails: list[np.ndarray]):
         found = [np.unique(ids, return_counts=True) for ids in tails]
-        self.terms = [t for t, _ in found]
+        size = np.array([len(t) for t, _ in found])
         lengths = np.array([len(ids) for ids in tails], dtype=np.float64)
-        doc = np.repeat(np.arange(len(tails), dtype=np.int32), [len(t) for t in self.terms])
-        term = np.concatenate(self.terms) if tails else np.zeros(0, np.uint32)
-        tf = np.concatenate([c for _, c in found]) if tails else np.zeros(0)
+        doc = np.repeat(np.arange(len(tails), dtype=np.int32), size)
+        term, tf = np.concatenate([t for t, _ in found]), np.concatenate([c for _, c in found])
         order = np.argsort(term, kind="stable")
         doc, term, tf = doc[order], term[order], tf[order].astype(np.float64)
-        self.vocabulary, start = np.unique(term, return_index=True)
-        self.bounds = np.append(start, len(term))
+        new = np.append(True, term[1:] != term[:-1])
+        self.bounds = np.append(np.flatnonzero(new), len(term))
+        row = np.empty(len(order), dtype=np.int64)
+        row[order] = np.cumsum(new) - 1
+        self.rows = np.split(row, np.cumsum(size)[:-1])  # of each tail: the rows of its terms
         df = np.diff(self.bounds)
         idf = np.log(1 + (len(tails) - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * lengths / max(1.0, lengths.mean() if len(tails) else 1.0))
+        norm = K1 * (1 - B + B * lengths / lengths.mean())
         self.doc = doc
         self.impact = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[doc])
         self.size = len(tails)
 
+    def forget(self, used: np.ndarray) -> None:
+        """Drop the postings of used tails; the scores of the others stay as they are."""
+        kept = ~used[self.doc]
+        self.bounds = np.append(0, np.cumsum(kept))[self.bounds]
+        self.doc, self.impact = self.doc[kept], self.impact[kept]
+
     def scores(self, seed: int) -> np.ndarray:
         """BM25 score of every tail for the distinct terms of the seed."""
-        at = np.searchsorted(self.vocabulary, self.terms[seed])
-        start, length = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
-        ends = np.cumsum(length)
-        take = np.arange(ends[-1]) + np.repeat(start - (ends - length), length)
-        return np.bincount(self.doc[take], weights=self.impact[take], minlength=self.size)
+        rows = self.rows[seed]
+        spans = [slice(a, b) for a, b in zip(self.bounds[rows].tolist(), self.bounds[rows + 1].tolist())]
+        doc, impact = np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.impact[s] for s in spans])
+        return np.bincount(doc, weights=impact, minlength=self.size)
 
 
 def fill_windows(tails: list[np.ndarray], window: int) -> Iterator[list[tuple[int, int, int]]]:
@@ -64,40 +71,34 @@ def fill_windows(tails: list[np.ndarray], window: int) -> Iterator[list[tuple[in
     if not tails:
         return
     index = Index(tails)
-    used_to = np.zeros(len(tails), dtype=np.int64)
-    length = np.array([len(t) for t in tails], dtype=np.int64)
-    seed = 0
-    while True:
-        while seed < len(tails) and used_to[seed] == length[seed]:
-            seed += 1
-        if seed == len(tails):
-            return
-        pieces, space = [], window
-
-        def take(tail: int) -> None:
-            nonlocal space
-            count = int(min(space, length[tail] - used_to[tail]))
-            pieces.append((int(tail), int(used_to[tail]), count))
-            used_to[tail] += count
-            space -= count
-
-        first = seed
-        take(first)
-        if space:
-            scores = index.scores(first)
-            near = np.flatnonzero(used_to < length)
-            near = near[np.argsort(-scores[near], kind="stable")]
-            for tail in near:
-                if length[tail] - used_to[tail] <= space:
-                    take(tail)
-                    if not space:
-                        break
-            if space:
-                for tail in near:
-                    if used_to[tail] < length[tail]:
-                        take(tail)
-                        break
-        yield pieces
+    used_to = [0] * len(tails)
+    left = np.array([len(t) for t in tails])
+    indexed = len(tails)  # tails with postings
+    for seed in range(len(tails)):
+        while left[seed]:
+            pieces, space, scores, tail = [], window, None, seed
+            while True:
+                count = min(space, int(left[tail]))
+                pieces.append((tail, used_to[tail], count))
+                used_to[tail] += count
+                left[tail] -= count
+                space -= count
+                if not space:
+                    break
+                if scores is None:
+                    unused = np.count_nonzero(left)
+                    if unused * 4 < indexed * 3:
+                        index.forget(left == 0)
+                        indexed = unused
+                    scores = index.scores(seed)
+                # the best unused neighbour that fits whole, or else the best one, cut; the first of equal ones
+                near = np.flatnonzero((left > 0) & (left <= space))
+                if not len(near):
+                    near = np.flatnonzero(left)
+                if not len(near):
+                    break
+                tail = int(near[np.argmax(scores[near])])
+            yield pieces
 
 
 def pack_documents(docs: DataFrame, window: int = 2048, shard_docs: int = 2048, end_id: int = 1, path: str | None = None,
@@ -110,7 +111,7 @@ def pack_documents(docs: DataFrame, window: int = 2048, shard_docs: int = 2048,
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = K.encoder(path).ids
+        encode = K.encoder(path).library_ids
         end, width = K.pack([end_id]), K.WIDTH
         sequence = TaskContext.get().partitionId() << 36
         ids_type = None
