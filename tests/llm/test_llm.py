@@ -148,7 +148,6 @@ def test_packing(spark, rows):
     from tokenizers import Tokenizer
     import public_tokenizers
     own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    own.encode_special_tokens = True
     ids = {r.doc_id: e.ids + [1] for r, e in zip(rows, own.encode_batch([r.text or "" for r in rows], add_special_tokens=False))}
     pieces = QUERIES["op3_packing"](spark, SMALL).collect()
     seen, sequences = collections.Counter(), collections.defaultdict(list)
@@ -182,6 +181,24 @@ def test_packing_awkward(awkward, nothing):
     assert packing.pack_documents(nothing).count() == 0
 
 
+def test_packing_added_tokens(spark):
+    """The literal of an added token is that token, as the library has it without any option."""
+    from tokenizers import Tokenizer
+    import public_tokenizers
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    mark = "<|endoftext|>"
+    rng = random.Random(17)
+    texts = [f"x {mark} y", mark, f"a{mark}  b", f"  {mark}\n", mark + mark, "<|endoftext|", f"don't{mark}'s é{mark} ñ 'll 12_3"]
+    texts += ["".join(rng.choice(["<|", "|>", "endoftext", mark, " ", "  ", "\n", "'s", "'", "l", "9", "é", "中", "_", "!"]) for _ in range(12)) for _ in range(300)]
+    got = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    ids = collections.defaultdict(dict)
+    for p in got:
+        ids[p.doc_id][p.start] = bytes(p.ids)
+    for k, text in enumerate(texts):
+        want = own.encode(text, add_special_tokens=False).ids + [1]
+        assert b"".join(part for _, part in sorted(ids[k].items())) == tokens.pack(want), text
+
+
 # perplexity
 
 def base_by_force(text):

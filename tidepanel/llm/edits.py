@@ -29,7 +29,7 @@ ANY = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Spa
 
 
 def split(text: str) -> list[str]:
-    return K.SPLIT.findall(text) if K.PLAIN.fullmatch(text) else ANY.findall(text)
+    return K.pre_tokens(text) if K.PLAIN.fullmatch(text) else ANY.findall(text)
 
 
 class Document:

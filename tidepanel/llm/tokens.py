@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import array
 import base64
+import json
 import os
 import re
 import sys
@@ -18,7 +19,9 @@ WIDTH = 4  # bytes of an id
 #: The vocabulary's own split pattern, for texts made of PLAIN characters only, where Python's
 #: classes and the library's agree.
 PLAIN = re.compile("[\t-\r -~À-ÖØ-öø-ɏ‐-‧]*")
-SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: Words stand first, as most pre-tokens are words and no other branch before them can take one.
+SPLIT = re.compile(r" ?[^\W\d_]+| ?[0-9]+|'s|'t|'re|'ve|'m|'ll|'d| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+SPLIT_ASCII = re.compile(r" ?[A-Za-z]+| ?[0-9]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
 
 CACHE_WORDS = 300_000  # entries a worker keeps, about 60 MB
 
@@ -42,6 +45,11 @@ class Pieces(dict):
         return ids
 
 
+def pre_tokens(text: str) -> list[str]:
+    """Pre-tokens of a plain text."""
+    return (SPLIT_ASCII if text.isascii() else SPLIT).findall(text)
+
+
 def pack(ids: list[int]) -> bytes:
     out = array.array("I", ids)
     if sys.byteorder != "little":
@@ -59,10 +67,12 @@ class Encoder:
             ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding(os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.pieces = Pieces(self.encoding)
+        self.added = added_tokens(os.path.splitext(path)[0] + ".json")
+        self.cut = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
 
     def split(self, text: str) -> list[str] | None:
         """Pre-tokens whose ids, joined, are the ids of the text; None where only the library can split it."""
-        return SPLIT.findall(text) if PLAIN.fullmatch(text) else None
+        return pre_tokens(text) if PLAIN.fullmatch(text) else None
 
     def ids(self, text: str | None) -> bytes:
         """Bytes of the ids of a text; a null text is empty."""
@@ -73,6 +83,21 @@ class Encoder:
             return pack(self.encoding.encode_ordinary(text))
         return b"".join(map(self.pieces.__getitem__, words))
 
+    def library_ids(self, text: str | None) -> bytes:
+        """Bytes of the ids that the library gives a text: literals of added tokens are these tokens."""
+        if not text or self.cut is None or not self.cut.search(text):
+            return self.ids(text)
+        return b"".join(self.added[part] if part in self.added else self.ids(part) for part in self.cut.split(text))
+
+
+def added_tokens(path: str) -> dict[str, bytes]:
+    """Literal -> bytes of its id, by the library's own vocabulary file beside the ranks, longest first; none where there is no such file."""
+    if not os.path.exists(path):
+        return {}
+    with open(path, encoding="utf-8") as lines:
+        found = {token["content"]: pack([token["id"]]) for token in json.load(lines)["added_tokens"]}
+    return dict(sorted(found.items(), key=lambda item: -len(item[0])))
+
 
 _encoders: dict[str, Encoder] = {}
 
