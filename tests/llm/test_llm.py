@@ -174,6 +174,59 @@ def test_packing_neighbours():
     assert sum(n for w in packing.fill_windows(tails, 5) for _, _, n in w) == 14
 
 
+def brute_windows(tails, window):
+    """The same rule with BM25 by its formula, over lists and counters, without an index."""
+    import math
+    counts = [collections.Counter(t) for t in tails]
+    mean = sum(map(len, tails)) / len(tails)
+    df = collections.Counter(t for c in counts for t in c)
+
+    def score(seed, k):
+        norm = 1.2 * (1 - 0.75 + 0.75 * len(tails[k]) / mean)
+        return sum(math.log(1 + (len(tails) - df[t] + 0.5) / (df[t] + 0.5)) * counts[k][t] * 2.2 / (counts[k][t] + norm) for t in counts[seed])
+
+    used = [0] * len(tails)
+    for seed in range(len(tails)):
+        while used[seed] < len(tails[seed]):
+            n = min(window, len(tails[seed]) - used[seed])
+            pieces, space = [(seed, used[seed], n)], window - n
+            used[seed] += n
+            for whole in (True, False):
+                for k in sorted(range(len(tails)), key=lambda k: (-round(score(seed, k), 9), k)):
+                    n = len(tails[k]) - used[k]
+                    if n and space and (n <= space or not whole):
+                        n = min(n, space)
+                        pieces.append((k, used[k], n))
+                        used[k] += n
+                        space -= n
+            yield pieces
+
+
+def test_packing_equals_brute_force():
+    import numpy as np
+    rng = random.Random(23)
+    for _ in range(6):
+        topics = [[rng.randrange(5000) for _ in range(12)] for _ in range(5)]
+        tails = [[rng.choice(topics[k % 5]) if rng.random() < 0.7 else rng.randrange(5000) for _ in range(rng.randint(1, 31))] for k in range(40)]
+        assert list(packing.fill_windows([np.array(t, dtype="<u4") for t in tails], 32)) == list(brute_windows(tails, 32))
+
+
+def test_packing_neighbours_come_from_anywhere(spark):
+    """Copies that lie far apart in the input meet in a sequence, whatever the shards and partitions are."""
+    rng = random.Random(29)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(4000)]
+    texts = [" ".join(rng.sample(words, 15)) for _ in range(60)] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6, "doc_id")
+    sequences = collections.defaultdict(set)
+    pieces = packing.pack_documents(docs, window=128, shard_docs=8).collect()
+    for p in pieces:
+        sequences[p.doc_id].add(p.sequence_id)
+    together = sum(bool(sequences[k] & sequences[k + 60]) for k in range(60))
+    assert together >= 45
+    again = packing.pack_documents(docs, window=128, shard_docs=8).collect()
+    assert sorted(map(str, again)) == sorted(map(str, pieces))
+
+
 def test_packing_awkward(awkward, nothing):
     got = packing.pack_documents(awkward).collect()
     assert collections.Counter(p.doc_id for p in got if p.start == 0) == collections.Counter(r[0] for r in AWKWARD)

@@ -1,14 +1,14 @@
 """Packing by lexical retrieval: a sharded BM25 index returns unused neighbours that fill a seed's window.
 
 A document is its token ids and an end id. It is cut into whole windows, which are sequences of their own, and
-a tail. Tails are gathered into shards of ``shard_docs`` in the order of the input partition; each shard has an
-inverted index of its own (all terms of all tails, BM25 impacts stored with the postings). The first unused tail
-is the seed of a window; its unused neighbours follow by falling BM25 score, first those that fit whole, then one that is cut
-at the end of the window. The rest of a cut tail stays in the shard as an unused neighbour. So only the last
-sequence of a shard is short.
+a tail. Tails are ordered by their two most telling terms, so that lexical neighbours lie together however the input is laid out, and dealt
+into shards of ``shard_docs`` along this order; each shard has an inverted index of its own (all terms of all tails, BM25 impacts stored with
+the postings). The first unused tail is the seed of a window; its unused neighbours follow by falling BM25 score, first those that fit whole,
+then one that is cut at the end of the window. The rest of a cut tail stays in the shard as an unused neighbour. So only the last
+sequence of a shard is short. Neighbours outside the shard are not found: their share is in the README.
 
-Shards are pieces of input partitions: nothing is shuffled, a task holds at most ``shard_docs`` tails of less than a
-window, and a lost task is repeated with the same result.
+Pieces are written once, then only tails are shuffled, by ranges of their key and a number of their own, so a key of many copies is split. A task
+holds at most ``shard_docs`` tails of less than a window, and a lost task is repeated with the same result.
 
 Defined cases: a null or empty text is the end id alone; rows with the same or a null id are packed one by one; an empty
 table gives no rows; other columns of the input are ignored.
@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidepanel.llm import tokens as K
+from tidepanel.session import materialize
 
 K1, B = 1.2, 0.75  # the usual BM25 parameters
 
@@ -101,60 +102,88 @@ def fill_windows(tails: list[np.ndarray], window: int) -> Iterator[list[tuple[in
             yield pieces
 
 
+def telling_terms(ids: np.ndarray) -> int:
+    """The two terms with most weight in a tail, as one long: tails that share them lie together in order of it.
+
+    The weight is BM25's saturated frequency times the logarithm of the id: merges of a vocabulary are numbered from frequent to rare.
+    """
+    terms, count = np.unique(ids, return_counts=True)
+    best = terms[np.argsort(-count / (count + K1) * np.log1p(terms), kind="stable")[:2]].tolist()
+    return best[0] << 32 | best[-1]
+
+
+def cut_documents(docs: DataFrame, window: int, end_id: int, path: str | None, id_col: str, text_col: str) -> DataFrame:
+    """A row per whole window and per tail: doc, start, ids, doc_tokens, place (a number of its own) and key (of tails; null for windows)."""
+    schema = T.StructType([T.StructField("doc", docs.schema[id_col].dataType), T.StructField("ids", T.BinaryType())]
+                          + [T.StructField(n, T.LongType()) for n in ("start", "doc_tokens", "place", "key")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = K.encoder(path).library_ids
+        end, size = K.pack([end_id]), window * K.WIDTH
+        place = TaskContext.get().partitionId() << 38
+        for batch in batches:
+            doc_type, rows = batch.schema.field(0).type, []
+
+            def out() -> pa.RecordBatch:
+                types = (doc_type, pa.binary(), *[pa.int64()] * 4)
+                columns = [pa.array(c, type=t) for c, t in zip(zip(*rows), types)]
+                rows.clear()
+                return pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids = encode(text.as_py()) + end
+                for at in range(0, len(ids), size):
+                    part = ids[at:at + size]
+                    key = telling_terms(np.frombuffer(part, dtype="<u4")) if len(part) < size else None
+                    rows.append((doc, part, at // K.WIDTH, len(ids) // K.WIDTH, place, key))
+                    place += 1
+                    if len(rows) == 2048:
+                        yield out()
+            if rows:
+                yield out()
+
+    return docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+
+
 def pack_documents(docs: DataFrame, window: int = 2048, shard_docs: int = 2048, end_id: int = 1, path: str | None = None,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: the id column, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
-    id_type = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField(id_col, id_type)] + [T.StructField(n, t) for n, t in (
-        ("start", T.LongType()), ("length", T.LongType()), ("ids", T.BinaryType()), ("doc_tokens", T.LongType()),
-        ("sequence_id", T.LongType()), ("offset", T.LongType()))])
-    names = schema.names
+    assert sys.byteorder == "little", "ids are sliced as little-endian"
+    parts = materialize(cut_documents(docs, window, end_id, path, id_col, text_col))
+    longs = ("start", "length", "doc_tokens", "sequence_id", "offset")
+    schema = T.StructType([parts.schema["doc"], parts.schema["ids"]] + [T.StructField(n, T.LongType()) for n in longs])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = K.encoder(path).library_ids
-        end, width = K.pack([end_id]), K.WIDTH
         sequence = TaskContext.get().partitionId() << 36
-        ids_type = None
-        rows: list[tuple] = []
         shard: list[tuple] = []
+        doc_type = None
 
-        def out() -> pa.RecordBatch:
-            columns = list(zip(*rows)) if rows else [()] * len(names)
-            arrays = [pa.array(columns[0], type=ids_type)] + [
-                pa.array(c, type=pa.binary() if n == "ids" else pa.int64()) for n, c in zip(names[1:], columns[1:])]
-            rows.clear()
-            return pa.RecordBatch.from_arrays(arrays, names=names)
-
-        def close_shard() -> None:
+        def close_shard() -> pa.RecordBatch:
             nonlocal sequence
-            for pieces in fill_windows([np.frombuffer(tail, dtype="<u4") for _, _, _, tail in shard], window):
+            rows = []
+            for pieces in fill_windows([np.frombuffer(ids, dtype="<u4") for _, ids, _, _ in shard], window):
                 offset = 0
                 for k, first, count in pieces:
-                    doc, base, total, tail = shard[k]
-                    rows.append((doc, base + first, count, tail[first * width:(first + count) * width], total, sequence, offset))
+                    doc, ids, start, total = shard[k]
+                    rows.append((doc, ids[first * K.WIDTH:(first + count) * K.WIDTH], start + first, count, total, 2 * sequence, offset))
                     offset += count
                 sequence += 1
             shard.clear()
+            types = (doc_type, pa.binary(), *[pa.int64()] * len(longs))
+            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), types)], names=schema.names)
 
         for batch in batches:
-            ids_type = batch.schema.field(0).type
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py()) + end
-                total = len(ids) // width
-                whole = total // window
-                for k in range(whole):
-                    rows.append((doc, k * window, window, ids[k * window * width:(k + 1) * window * width], total, sequence, 0))
-                    sequence += 1
-                if total > whole * window:
-                    shard.append((doc, whole * window, total, ids[whole * window * width:]))
+            doc_type = batch.schema.field(0).type
+            for row in zip(*[column.to_pylist() for column in batch.columns]):
+                shard.append(row)
                 if len(shard) == shard_docs:
-                    close_shard()
-                if len(rows) >= 2048:
-                    yield out()
+                    yield close_shard()
         if shard:
-            close_shard()
-        if rows:
-            yield out()
-
-    assert sys.byteorder == "little", "ids are sliced as little-endian"
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+            yield close_shard()
+
+    # a range of (key, place) splits a key that many tails share; the order makes a repeated task give the same windows
+    tails = parts.filter("key is not null").repartitionByRange("key", "place").sortWithinPartitions("key", "place") \
+        .select("doc", "ids", "start", "doc_tokens").mapInArrow(run, schema)
+    whole = parts.filter("key is null").select("doc", "ids", "start", F.lit(window).cast("long").alias("length"), "doc_tokens",
+                                               (2 * F.col("place") + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return tails.unionByName(whole).select(F.col("doc").alias(id_col), "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
