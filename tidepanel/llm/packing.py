@@ -30,14 +30,28 @@ from tidepanel.session import materialize
 K1, B = 1.2, 0.75  # the usual BM25 parameters
 
 
+def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different ids in order and how often each stands; ids below 2^16 take a radix sort."""
+    ids = ids.astype(np.uint16) if ids.max() < 1 << 16 else ids.copy()
+    ids.sort(kind="stable")
+    ends = np.empty(len(ids), dtype=bool)
+    ends[-1] = True
+    np.not_equal(ids[1:], ids[:-1], out=ends[:-1])
+    last = ends.nonzero()[0]
+    count = last.copy()
+    count[0] += 1
+    count[1:] -= last[:-1]
+    return ids[last], count
+
+
 class Index:
     """BM25 inverted index over the tails of a shard."""
 
     def __init__(self, tails: list[np.ndarray]):
-        found = [np.unique(ids, return_counts=True) for ids in tails]
+        found = [distinct(ids) for ids in tails]
         size = np.array([len(t) for t, _ in found])
         lengths = np.array([len(ids) for ids in tails], dtype=np.float64)
-        doc = np.repeat(np.arange(len(tails), dtype=np.int32), size)
+        doc = np.repeat(np.arange(len(tails)), size)
         term, tf = np.concatenate([t for t, _ in found]), np.concatenate([c for _, c in found])
         order = np.argsort(term, kind="stable")
         doc, term, tf = doc[order], term[order], tf[order].astype(np.float64)
@@ -88,7 +102,7 @@ def fill_windows(tails: list[np.ndarray], window: int) -> Iterator[list[tuple[in
                     break
                 if scores is None:
                     unused = np.count_nonzero(left)
-                    if unused * 4 < indexed * 3:
+                    if unused * 10 < indexed * 9:
                         index.forget(left == 0)
                         indexed = unused
                     scores = index.scores(seed)
@@ -107,9 +121,11 @@ def telling_terms(ids: np.ndarray) -> int:
 
     The weight is BM25's saturated frequency times the logarithm of the id: merges of a vocabulary are numbered from frequent to rare.
     """
-    terms, count = np.unique(ids, return_counts=True)
-    best = terms[np.argsort(-count / (count + K1) * np.log1p(terms), kind="stable")[:2]].tolist()
-    return best[0] << 32 | best[-1]
+    terms, count = distinct(ids)
+    weight = count / (count + K1) * np.log1p(terms, dtype=np.float64)
+    first = int(np.argmax(weight))
+    weight[first] = -1
+    return int(terms[first]) << 32 | int(terms[np.argmax(weight)])
 
 
 def cut_documents(docs: DataFrame, window: int, end_id: int, path: str | None, id_col: str, text_col: str) -> DataFrame:
