@@ -5,7 +5,8 @@ shared folder and reads it again. All stages but the last return the columns of
 
 * ``language_id`` fits on the labelled rows it gets (ids whose crc32 is 2 modulo 4 are left out) and drops texts without a letter and ambiguous ones.
 * ``line_dedup`` cuts lines with a word that match an earlier line; documents that lose all their words go.
-* ``near_dedup`` keeps one document of each component of near copies: Jaccard similarity of 0.8 or more on shingles of five words.
+* ``near_dedup`` keeps one document of each component of near copies: Jaccard similarity of 0.8 or more on shingles of five words,
+  among candidates of BK-trees over SimHash fingerprints and of MinHash bands.
 * ``decontaminate`` drops documents that hold a window of a benchmark item.
 * ``pack`` returns the pieces of sequences of at most 2048 ids, with their ids.
 

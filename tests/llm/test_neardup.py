@@ -4,6 +4,8 @@ import random
 import re
 
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidepanel.llm import neardup
@@ -74,3 +76,33 @@ def test_stage_awkward(spark):
     kept = neardup.keep_one(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 4, 5, 6]
     assert neardup.keep_one(docs.limit(0)).count() == 0
+
+
+def test_trees_find_links_of_their_own(spark, planted):
+    """Without a band key, sets within 3 bits of each other are still linked; links by fingerprints alone are not."""
+    def set_of(text):
+        words = text.encode().lower().split()
+        return {b" ".join(words[k:k + 5]) for k in range(len(words) - 4)}
+
+    def print_of(text):
+        hashes = [xxhash.xxh64_intdigest(s, 42) for s in set_of(text)]
+        return sum((2 * sum(h >> k & 1 for h in hashes) > len(hashes)) << k for k in range(64))
+
+    docs = spark.createDataFrame([r for r in planted if len((r[1] or "").split()) > 80], "doc_id long, text string")
+    signed = neardup.signatures(docs, 5, "doc_id", "text").dropDuplicates(["set_id"]).persist()
+    got = {r.set_id: (r.fp & (1 << 64) - 1, set_of(r.text)) for r in signed.join(docs, "doc_id").collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert all(r.fp & (1 << 64) - 1 == print_of(texts[r.doc_id]) for r in signed.limit(20).collect())
+    edges = neardup.links(docs, signed.withColumn("keys", F.expr("cast(array() as array<bigint>)")), 4, 5, 5, "text").collect()
+    linked = lambda u, v: 9 * len(got[u][1] & got[v][1]) >= 4 * (len(got[u][1]) + len(got[v][1]))
+    part = {u: {u} for u in got}
+    for u, v in edges:
+        assert linked(u, v)
+        whole = part[u] | part[v]
+        part.update((w, whole) for w in whole)
+    close = [(u, v) for u in got for v in got if u < v and (got[u][0] ^ got[v][0]).bit_count() <= 3 and linked(u, v)]
+    assert len(close) >= 5 and all(v in part[u] for u, v in close)
+    # one fingerprint for all: every set is tried against the least one, none is linked by its fingerprint alone
+    alike = neardup.links(docs, signed.withColumn("fp", F.lit(7).cast("long")).withColumn("keys", F.expr("cast(array() as array<bigint>)")), 4, 5, 5, "text").collect()
+    least = min(got)
+    assert {frozenset(e) for e in alike} == {frozenset((least, u)) for u in got if u != least and linked(u, least)}

@@ -1,12 +1,15 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands find candidates, each link is verified on the whole sets.
+"""Near-duplicates by the Jaccard similarity of word shingles: BK-trees over SimHash and MinHash bands find candidates, each link is verified on the whole sets.
 
 A document is the set of its shingles of ``shingle`` words (A-Z lower-cased, words between ASCII white space; fewer words: the whole sequence; none: the
 empty set). Two documents are linked if the Jaccard similarity of their sets is ``threshold`` or more; copies with one set are one node.
 
-1. Signature: BANDS keys of ROWS minima each. Two sets of similarity s share a key with probability 1 - (1 - s^ROWS)^BANDS: 0.99999 at 0.8, 0.06 at 0.2. The
-   keys of a document are BANDS at any table size; SimHash at the distances of such pairs (4 to 11 bits) would need hundreds of shards a fingerprint.
-2. Keys with at most SMALL sets give their pairs, each once, verified by a join with the sets.
-3. Keys with more sets carry the sets: they are dealt into pieces, and each pair of pieces is one group of a task, which verifies every pair that its earlier
+1. SimHash: a set has a fingerprint of its shingles' hashes. The BK-trees of ``simhash`` find fingerprints within ``radius`` bits; they give a spanning forest of these links. Sets
+   of one fingerprint are tried against the least of them, and a link of two fingerprints between the least sets of both.
+2. Pairs of a similarity just over the threshold lie 4 to 11 bits apart, which would need hundreds of tree shards a fingerprint. MinHash bands find these, and what a tree's forest
+   left out: BANDS keys of ROWS minima each. Two sets of similarity s share a key with probability 1 - (1 - s^ROWS)^BANDS: 0.99999 at 0.8, 0.06 at 0.2. The
+   keys of a document are BANDS at any table size.
+3. Keys with at most SMALL sets give their pairs. These and the trees' pairs, each once, are verified by a join with the sets.
+4. Keys with more sets carry the sets: they are dealt into pieces, and each pair of pieces is one group of a task, which verifies every pair that its earlier
    links don't connect already and returns a spanning forest. So a group of copies gives as many edges as it has sets, and no pair is emitted.
 
 The sets are read again from the texts of those documents alone that have a candidate. Sets are known by a 64-bit hash, shingles too.
@@ -25,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from tidepanel.llm import simhash
 from tidepanel.llm.components import components
 from tidepanel.llm.linededup import similar
 from tidepanel.llm.simhash import SEED, keep_first, signed
@@ -59,14 +63,15 @@ def band_keys(hashes: np.ndarray) -> list[int]:
 
 
 def signatures(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """id column, text_hash, set_id, n (size of the set), keys."""
+    """id column, text_hash, set_id, n (size of the set), fp (its SimHash fingerprint), keys."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t.as_py(), shingle) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                                              pa.array([signed(simhash.majority(s)) for s in sets], pa.int64()),
                                               pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))], names=schema.names)
 
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *[T.StructField(c, T.LongType()) for c in ("text_hash", "set_id", "n")],
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *[T.StructField(c, T.LongType()) for c in ("text_hash", "set_id", "n", "fp")],
                            T.StructField("keys", T.ArrayType(T.LongType()))])
     return docs.select(F.col(id_col), F.col(text_col), F.xxhash64(text_col)).mapInArrow(run, schema)
 
@@ -150,15 +155,27 @@ def large_links(rows: DataFrame, num: int, den: int) -> DataFrame:
     return rows.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "set_id").mapInArrow(run, "u long, v long")
 
 
-def links(docs: DataFrame, distinct: DataFrame, num: int, den: int, shingle: int, text_col: str) -> DataFrame:
-    """u, v: edges that connect all sets with a linked candidate. distinct: set_id, n, text_hash, keys, each set once."""
+def tree_pairs(distinct: DataFrame, radius: int) -> DataFrame:
+    """x, y, n_x, n_y: candidates among the sets by BK-trees over their fingerprints. distinct: set_id, n, fp, each set once; the empty set takes no part."""
+    sets = distinct.filter("n > 0").select("fp", F.struct("set_id", "n").alias("set"))
+    heads = materialize(sets.groupBy("fp").agg(F.min("set").alias("head")))
+    same = sets.join(heads, "fp").filter("set != head").select(F.col("head").alias("x"), F.col("set").alias("y"))
+    side = lambda fp, name: heads.select(F.col("fp").alias(fp), F.col("head").alias(name))
+    apart = simhash.links(heads.select("fp"), heads.count(), radius).join(side("u", "x"), "u").join(side("v", "y"), "v").select("x", "y")
+    return same.unionByName(apart).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")) \
+        .select("x.set_id", "y.set_id", "x.n", "y.n").toDF("x", "y", "n_x", "n_y")
+
+
+def links(docs: DataFrame, distinct: DataFrame, num: int, den: int, shingle: int, text_col: str, radius: int = 3) -> DataFrame:
+    """u, v: edges that connect all sets with a linked candidate. distinct: set_id, n, text_hash, fp, keys, each set once."""
     entries = distinct.select("set_id", "n", F.explode("keys").alias("key"))
     times = entries.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1")
     met = materialize(entries.join(times, "key"))
     few = met.filter(F.col("times") <= SMALL)
     a, b = (few.select("key", F.col("set_id").alias(name), F.col("n").alias(f"n_{name}")) for name in "xy")
     near = (F.col("x") < F.col("y")) & (F.least("n_x", "n_y") * den >= F.greatest("n_x", "n_y") * num)
-    pairs = materialize(a.join(b, "key").filter(near).select("x", "y").distinct())
+    met_pairs = a.join(b, "key").select("x", "y", "n_x", "n_y").unionByName(tree_pairs(distinct, radius))
+    pairs = materialize(met_pairs.filter(near).select("x", "y").distinct())
     many = met.filter(F.col("times") > SMALL)
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("set_id")).unionByName(many.select("set_id")).distinct()
     sets = materialize(whole_sets(docs, materialize(distinct.join(wanted, "set_id").select("text_hash")), shingle, text_col))
@@ -169,15 +186,16 @@ def links(docs: DataFrame, distinct: DataFrame, num: int, den: int, shingle: int
     return verified.unionByName(large_links(large, num, den))
 
 
-def near_copies(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: the id column, text_hash, set_id, root (least set_id of the component)."""
     num, den = Fraction(str(threshold)).as_integer_ratio()
     signed_docs = materialize(signatures(docs, shingle, id_col, text_col))
-    distinct = materialize(signed_docs.groupBy("set_id").agg(F.first("n").alias("n"), F.min("text_hash").alias("text_hash"), F.first("keys").alias("keys")))
-    found = components(links(docs, distinct, num, den, shingle, text_col)).withColumnRenamed("u", "set_id")
+    distinct = materialize(signed_docs.groupBy("set_id").agg(F.first("n").alias("n"), F.min("text_hash").alias("text_hash"), F.first("fp").alias("fp"),
+                                                                   F.first("keys").alias("keys")))
+    found = components(links(docs, distinct, num, den, shingle, text_col, radius)).withColumnRenamed("u", "set_id")
     return signed_docs.join(found, "set_id", "left").select(id_col, "text_hash", "set_id", F.coalesce("root", "set_id").alias("root"))
 
 
-def keep_one(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input's columns with one document of each component: the least id, nulls last, then the least hash of its text."""
-    return keep_first(docs, near_copies(docs, threshold, shingle, id_col, text_col), id_col, text_col)
+    return keep_first(docs, near_copies(docs, threshold, shingle, radius, id_col, text_col), id_col, text_col)

@@ -40,7 +40,11 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
         return 0
     parts = map(b" ".join, zip(*(words[k:] for k in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(p, SEED) for p in parts], dtype="<u8")
+    return majority(np.array([digest(p, SEED) for p in parts], dtype="<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     total = np.zeros(64, dtype=np.int64)
     for k in range(0, len(hashes), 1 << 14):
         total += np.unpackbits(hashes[k:k + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
