@@ -16,6 +16,7 @@ from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tidepanel.functions.sizing import within
 from tidepanel.session import materialize
 
 _held: ContextVar[dict | None] = ContextVar("panels", default=None)
@@ -60,13 +61,13 @@ def _by_dimension(facts: DataFrame, key: str, price: str, period: Column,
                   dim: DataFrame, dim_key: str, entity: str) -> DataFrame:
     """Mean level by (period, dimension attribute).
 
-    The facts are first summed by (key, period): a key that holds a third of them shrinks to one
-    row per period before the join, whose kind Spark chooses by the measured sizes.
+    A small dimension is broadcast. A large one is met by a hash join over a shuffle of the bare facts, without sorting or grouping them by key first: with few facts a key
+    and period that would shrink nothing. A key that holds a third of the facts is split by
+    adaptive execution. Each task sums its own rows to one per (period, entity) before these are shuffled.
     """
-    facts = facts.select(F.col(key).alias("k"), period.alias("period"),
-                         _cents(price).alias("cents"), F.lit(1).cast("bigint").alias("n"))
+    facts = facts.select(F.col(key).alias("k"), period.alias("period"), _cents(price).alias("cents"))
     dim = dim.select(F.col(dim_key).alias("k"), F.col(entity).alias("entity"))
-    joined = facts.groupBy("k", "period").agg(F.sum("cents").alias("cents"), F.sum("n").alias("n")).join(dim, "k")
+    joined = facts.join(F.broadcast(dim) if within(dim) else dim.hint("shuffle_hash"), "k").withColumn("n", F.lit(1).cast("bigint"))
     return materialize(joined.groupBy("period", "entity").agg(_level("cents", "n").alias("level")))
 
 
